@@ -13,7 +13,7 @@ LEGAL = """inc incorporated incorporatd corp corporation corporaton co company l
 sarl sas sa eurl sasu cie gmbh ag bv nv""".split()
 LEGAL_LONG = "incorporated corporation company limited private".split()
 # Titles before names.
-TITLES = "mr mrs ms miss dr smt shri sri shree mme mlle monsieur madame".split()
+TITLES = "m/s mr mrs ms miss dr smt shri sri shree mme mlle monsieur madame".split()
 # Words that add nothing to a name.
 FILLERS = "the and et und of de service services centre center shop store stores enterprise enterprises maison fils associes associe city".split()
 # Words that make another body of it.
@@ -47,7 +47,7 @@ GIVEN = {
 OWN_AFTER = re.compile(r"\b(?:d\s*/\s*b\s*/\s*a|dba|trading\s+as|t\s*/\s*a|doing\s+business\s+as)\b[\s:]*")
 OWN_BEFORE = re.compile(r"[(\[]?\s*\b(?:formerly(?:\s+known\s+as)?|f\s*/\s*k\s*/\s*a|fka|aka|a\s*/\s*k\s*/\s*a|also\s+known\s+as)\b.*$", re.S)
 
-_REFERENCE = re.compile(r"\(?\b(?:ref|id|reg)\b[\s.:#]*(?:no\b)?[\s.:#]*\d+\)?|#\s*\d+|\b\d{5,}\b")
+_REFERENCE = re.compile(r"\(?\b(?:ref|id|reg)\b[\s.:#]*(?:n[o0]\b)?[\s.:#]*\d+\)?|#\s*\d+|\b\d{5,}\b")
 _BRACKETS = re.compile(r"\([^)]*\)")
 _DOMAIN = re.compile(r"^(?:www\.)?([a-z0-9\-]{4,})\.(?:co\.in|com|net|us|in|fr|org)$")
 _SPELT = re.compile(r"(?<![a-z0-9])((?:[a-z] ){1,3}[a-z])(?![a-z0-9])")
@@ -117,6 +117,8 @@ def _kind(token: str) -> tuple[str, str]:
     if token in _DROP:
         return "drop", ""
     if not token.isdigit() and any(c.isdigit() for c in token):
+        if got := _TRADE.words.get(token.replace("1", "l").translate(DIGIT_LETTERS)):
+            return "trade", got
         token = token.translate(DIGIT_LETTERS)
         if token in _LEGAL or token in _DROP:
             return "drop", ""
@@ -164,7 +166,7 @@ def read_name(raw: str | None) -> Name:
     indic = bool(INDIC.search(raw))
     text = own_part(fold(raw))
     text = _BRACKETS.sub(" ", _REFERENCE.sub(" ", text))
-    text = _LEAD.sub("", text.strip())
+    text = _LEAD.sub("", text.strip()).removeprefix("m/s ")
     pieces: list[str] = []
     for piece in text.split():
         m = _DOMAIN.match(piece)
@@ -197,7 +199,7 @@ def read_name(raw: str | None) -> Name:
         if kind == "trade":
             trade = trade or value
             tails = TRADE_TAILS.get(value, ())
-            if i < n and tails and (tokens[i] in tails or (indic and sound(tokens[i]) in {sound(x) for x in tails}) or any(len(tokens[i]) in (3, 4, 5) and set(tokens[i]) <= set(x) for x in tails)):
+            if i < n and tails and (tokens[i].translate(DIGIT_LETTERS) in tails or (indic and sound(tokens[i]) in {sound(x) for x in tails}) or any(len(tokens[i]) in (3, 4, 5) and set(tokens[i]) <= set(x) for x in tails)):
                 i += 1
         elif kind == "parent":
             parent = value
