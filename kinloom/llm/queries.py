@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinloom.llm.forms import find_disguised
 from kinloom.llm.organisations import same_organisation
+from kinloom.llm.packing import pack_documents
 from kinloom.llm.premises import same_premises
+from kinloom.llm.topn import top_n_per_group
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,13 +31,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_organisation(_read(spark, sf_dir, "s1"), _others(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_n_per_group(_read(spark, sf_dir, "cand"), "o", "s1", "bscore", 4).select(F.col("i").alias("s1"), F.col("g").alias("o"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_disguised([_read(spark, sf_dir, t) for t in ("s1", "s2", "s3")])
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p7_containers": p7_containers,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+SQL = {
+    "p3_found": """
+with b as (select o, s1, max(bscore) as s from cand where bscore is not null and not isnan(bscore) and o is not null and s1 is not null group by o, s1),
+r as (select o, s1, row_number() over (partition by o order by s desc, s1) as k from b)
+select s1, o from r where k <= 4""",
+}
