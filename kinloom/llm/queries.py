@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm.forms import find_disguised
+from kinloom.llm.language import wrong_labels
 from kinloom.llm.leaks import find_leaks
 from kinloom.llm.organisations import same_organisation
 from kinloom.llm.packing import pack_documents
@@ -48,6 +49,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrong_labels(_read(spark, sf_dir, "documents")).select("doc_id", "true_lang").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p7_containers": p7_containers,
         "p8_found": p8_found,
+        "p9_found": p9_found,
     }
 
 
