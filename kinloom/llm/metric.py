@@ -3,8 +3,10 @@
 Left strings are assigned to their nearest pivot. Right strings are replicated to every cell that can hold a
 partner: for a left string x in the cell of pivot p at distance k, and a right string y with d(x, y) <= r,
 the triangle inequality gives |d(y, p) - k| <= r, and, as k is the distance of x to its *nearest* pivot,
-|near(y) - k| <= r. Cells are split into rings of equal k, so only rings that exist are sent anything. Inside a
-ring the true distance decides. No pair within the radius is lost, whatever the pivots are.
+|near(y) - k| <= r. Cells are split into rings of equal k. Each ring has a summary of its members (range of their
+distances to reference pivots, range of lengths, letters in any and in all), and only rings whose summary does not rule a
+partner out are sent the string. Inside a ring the true distance decides. No pair within the radius is lost,
+whatever the pivots are.
 
 Work: one distance per string and pivot (bit-parallel, 32 lanes wide, in numpy) and one per pair that
 shares a ring. The pivots are a deterministic sample of the left strings, one for ``pivot_every`` of them, at most
@@ -77,9 +79,69 @@ def by_length(texts: list[str], lanes: int) -> Iterator[np.ndarray]:
         start = end
 
 
+def letter_masks(texts: list[str]) -> np.ndarray:
+    """The set of letters of each text as bits; letters that share a bit make the filter weaker, never wrong."""
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for i, t in enumerate(texts):
+        m = 0
+        for c in set(t):
+            m |= 1 << (ord(c) & 63)
+        out[i] = m
+    return out.view(np.int64)
+
+
+class Rings:
+    """The rings of one block's cells that hold something, with what bounds their members."""
+
+    def __init__(self, summary: pd.DataFrame, refs: list[str]) -> None:
+        self.cell = summary["cell"].to_numpy(np.int64)
+        self.ring = summary["ring"].to_numpy(np.int64)
+        self.table = np.full((int(self.cell.max()) + 1, int(self.ring.max()) + 1), -1, dtype=np.int32)
+        self.table[self.cell, self.ring] = np.arange(len(summary))
+        self.len_lo, self.len_hi = summary["len_lo"].to_numpy(np.int32), summary["len_hi"].to_numpy(np.int32)
+        self.any = summary["any_"].to_numpy(np.int64).view(np.uint64)
+        self.all = summary["all_"].to_numpy(np.int64).view(np.uint64)
+        self.lo = summary[[c + "_lo" for c in refs]].to_numpy(np.int16)
+        self.hi = summary[[c + "_hi" for c in refs]].to_numpy(np.int16)
+
+    def reached(self, d: np.ndarray, letters: np.ndarray, length: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, cell, ring) for every ring that may hold a partner of a text with pivot distances ``d``."""
+        cells = min(d.shape[1], self.table.shape[0])
+        d = d[:, :cells]
+        near = d.min(axis=1, keepdims=True)
+        low = np.maximum(np.maximum(near, d) - r, 0)
+        width = np.minimum(np.minimum(near, d) + r, self.table.shape[1] - 1) - low
+        i, j = np.nonzero(width >= 0)
+        low, width = low[i, j], width[i, j]
+        texts, sets = [], []
+        for step in range(2 * r + 1):
+            some = np.nonzero(width >= step)[0]
+            if not len(some):
+                break
+            at = self.table[j[some], low[some] + step]
+            hit = at >= 0
+            texts.append(i[some[hit]])
+            sets.append(at[hit])
+        if not texts:
+            return i[:0], i[:0], i[:0]
+        t, s = np.concatenate(texts), np.concatenate(sets)
+        # a partner is at most r longer or shorter, and at most r letters of one are not in the other
+        ok = (self.len_lo[s] - r <= length) & (length <= self.len_hi[s] + r)
+        t, s = t[ok], s[ok]
+        ok = (np.bitwise_count(letters[t] & ~self.any[s]) <= r) & (np.bitwise_count(self.all[s] & ~letters[t]) <= r)
+        t, s = t[ok], s[ok]
+        # and its distance to any pivot differs by at most r
+        for c in range(min(self.lo.shape[1], d.shape[1])):
+            x = d[t, c]
+            ok = (x >= self.lo[s, c] - r) & (x <= self.hi[s, c] + r)
+            t, s = t[ok], s[ok]
+        return t, self.cell[s], self.ring[s]
+
+
 @dataclass(frozen=True)
 class RadiusParams:
-    radius: int = 3
+    radius: int = 4
+    references: int = 24
     pivot_every: int = 32
     max_pivots: int = 1536
     lanes: int = 24_000
@@ -134,64 +196,52 @@ def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = Radius
             for at in by_length(texts, max(1, lanes // len(words))):
                 yield index[at], made[block].distances([texts[i] for i in at])
 
+    refs = [f"ref{i}" for i in range(params.references)]
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Pivots] = {}
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             cell = np.zeros(len(pdf), dtype=np.int32)
             ring = np.zeros(len(pdf), dtype=np.int32)
+            seen = np.zeros((len(pdf), len(refs)), dtype=np.int32)
             for at, d in groups(pdf, made):
                 best = d.argmin(axis=1)
                 cell[at] = best
                 ring[at] = d[np.arange(len(at)), best]
-            yield pdf.assign(cell=cell, ring=ring)
+                seen[at, : min(len(refs), d.shape[1])] = d[:, : len(refs)]
+            yield pdf.assign(cell=cell, ring=ring, letters=letter_masks(pdf["text"].tolist()), **{c: seen[:, i] for i, c in enumerate(refs)})
 
-    home = T.StructType([*lp.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("ring", T.IntegerType())])
+    ints = ["cell", "ring"]
+    home = T.StructType([*lp.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ints), T.StructField("letters", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in refs)])
     cells = materialize(spread(lp, sum(sizes.values())).mapInPandas(assign, home), "cells")
-    held: dict[str, np.ndarray] = {}
-    for x in cells.groupBy("block", "cell", "ring").agg(F.count("*").alias("n")).collect():
-        b = x["block"]
-        if b not in held:
-            held[b] = np.zeros((len(pivots[b]), 2 * max(longest, PIVOT_LENGTH) + 2 * r + 2), dtype=np.int32)
-        held[b][x["cell"], x["ring"] + r] += 1
-    # running counts over rings: how many rings in [low, high] of a cell hold something
-    running = spark.sparkContext.broadcast({b: np.concatenate([np.zeros((len(h), 1), np.int32), np.cumsum(h, axis=1)], axis=1) for b, h in held.items()})
+    # what the members of a ring have in common: bounded by pivots and rings, whatever the size of the data
+    summary = cells.groupBy("block", "cell", "ring").agg(
+        F.min(F.length("text")).alias("len_lo"), F.max(F.length("text")).alias("len_hi"), F.bit_or("letters").alias("any_"), F.bit_and("letters").alias("all_"),
+        *[F.min(c).alias(c + "_lo") for c in refs], *[F.max(c).alias(c + "_hi") for c in refs],
+    )
+    rings: dict[str, Rings] = {b: Rings(part, refs) for b, part in summary.toPandas().groupby("block")}
+    kept = spark.sparkContext.broadcast(rings)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Pivots] = {}
         for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
             pdf = pdf[pdf["text"].str.len() <= longest + r].reset_index(drop=True)
-            rows, cell_out, dist_out, near_out = [], [], [], []
+            letters = letter_masks(pdf["text"].tolist()).view(np.uint64)
             blocks = pdf["block"].to_numpy()
+            texts = pdf["text"].to_numpy()
             for at, d in groups(pdf, made):
-                count = running.value.get(blocks[at[0]])
-                if count is None:
+                own = kept.value.get(blocks[at[0]])
+                if own is None:
                     continue
-                near = d.min(axis=1, keepdims=True)
-                low = np.maximum(np.maximum(near, d) - r, 0)
-                high = np.minimum(near, d) + r
-                width = count.shape[1] - 1
-                lo = np.minimum(low + r, width)
-                hi = np.minimum(high + r + 1, width)
-                cols = np.arange(d.shape[1])[None, :]
-                some = (high >= low) & (count[cols, np.maximum(hi, lo)] > count[cols, lo])
-                i, j = np.nonzero(some)
-                rows.append(at[i])
-                cell_out.append(j)
-                dist_out.append(d[i, j])
-                near_out.append(near[i, 0])
-            if rows:
-                take = np.concatenate(rows)
-                yield pd.DataFrame({"block": blocks[take], "right_text": pdf["text"].to_numpy()[take], "cell": np.concatenate(cell_out).astype(np.int32), "d": np.concatenate(dist_out).astype(np.int32), "near": np.concatenate(near_out).astype(np.int32)})
-
-    sent_type = T.StructType([T.StructField("block", T.StringType()), T.StructField("right_text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("cell", "d", "near"))])
+                i, j, k = own.reached(d, letters[at], len(texts[at[0]]), r)
+                if len(i):
+                    take = at[i]
+                    yield pd.DataFrame({"block": blocks[take], "right_text": texts[take], "cell": j.astype(np.int32), "ring": k.astype(np.int32)})
+
+    sent_type = T.StructType([T.StructField("block", T.StringType()), T.StructField("right_text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ints)])
     sent = spread(rp, rp.count()).mapInPandas(replicate, sent_type)
-    inside = cells.withColumnRenamed("text", "left_text")
-    pairs = inside.join(sent, ["block", "cell"]).filter(
-        (F.abs(F.col("ring") - F.col("d")) <= r)
-        & (F.abs(F.col("ring") - F.col("near")) <= r)
-        & (F.abs(F.length("left_text") - F.length("right_text")) <= r)
-    )
+    inside = cells.select("block", "cell", "ring", F.col("text").alias("left_text"))
+    pairs = inside.join(sent, ["block", "cell", "ring"]).filter(F.abs(F.length("left_text") - F.length("right_text")) <= r)
     # levenshtein with a threshold gives -1 beyond it
     return pairs.withColumn("distance", F.levenshtein("left_text", "right_text", r)).filter("distance >= 0").select("block", "left_text", "right_text", "distance")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm.forms import find_disguised
+from kinloom.llm.labelmodel import link_entities
 from kinloom.llm.language import wrong_labels
 from kinloom.llm.leaks import find_leaks
 from kinloom.llm.organisations import same_organisation
@@ -41,6 +42,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_disguised([_read(spark, sf_dir, t) for t in ("s1", "s2", "s3")])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_entities(_read(spark, sf_dir, "s1"), _others(spark, sf_dir)).select("s1", "o")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p5_found": p5_found,
         "p7_containers": p7_containers,
         "p8_found": p8_found,
         "p9_found": p9_found,

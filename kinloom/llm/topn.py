@@ -87,7 +87,8 @@ def surviving_row_groups(stats: DataFrame, n: int) -> DataFrame:
 def top_n_from_layout(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(g, i, s, rank) of the N first items of every group in a clustered layout."""
     todo = surviving_row_groups(row_group_statistics(spark, path), n)
-    files = todo.repartition(max(1, 2 * spark.sparkContext.defaultParallelism), "file")
+    # a file is a task's least share; by rows, as a partitioning by file would be merged with the one before
+    files = todo.repartition(max(1, min(len(spark.read.parquet(path).inputFiles()), 20_000)))
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("i", T.StringType()), T.StructField("s", T.DoubleType())])
 
     def best(df: pd.DataFrame) -> pd.DataFrame:
