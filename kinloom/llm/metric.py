@@ -140,7 +140,7 @@ class Rings:
 
 @dataclass(frozen=True)
 class RadiusParams:
-    radius: int = 4
+    radius: int = 3
     references: int = 24
     pivot_every: int = 32
     max_pivots: int = 1536
@@ -161,25 +161,26 @@ def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = Radius
         return df.select("block", "text").filter((F.col("text") != "") & F.col("block").isNotNull()).distinct()
 
     def spread(df: DataFrame, rows: int) -> DataFrame:
-        """Even tasks of about ``rows_per_task`` rows, and one for each core at least: every row costs as many distances as there are pivots."""
-        return df.repartition(max(spark.sparkContext.defaultParallelism, -(-rows // params.rows_per_task)))
+        """Even tasks of about ``rows_per_task`` rows, and one for each core at least, with the texts of a block and a length together."""
+        n = max(spark.sparkContext.defaultParallelism, -(-rows // params.rows_per_task))
+        order = ["block", F.length("text"), "text"]
+        return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     lp = materialize(points(left), "left-points")
     rp = materialize(points(right), "right-points")
     sizes = {x["block"]: x["n"] for x in lp.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    wanted = {b: max(1, min(params.max_pivots, n // params.pivot_every)) for b, n in sizes.items()}
     pivots: dict[str, list[str]] = {}
     longest = 0
     if sizes:
-        share = {b: max(1, min(params.max_pivots, n // params.pivot_every)) / n for b, n in sizes.items()}
         # a sample by hash, the same in every run; the exact cut follows on the driver
-        cut = F.lit(0.0)
-        for b, s in share.items():
-            cut = F.when(F.col("block") == F.lit(b), F.lit(min(1.0, 1.5 * s + 20.0 / sizes[b]))).otherwise(cut)
+        shares = spark.createDataFrame([(b, min(1.0, (1.5 * wanted[b] + 20) / n)) for b, n in sizes.items()], "block string, share double")
         spot = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        rows = lp.filter((spot < cut) & (F.length("text") <= PIVOT_LENGTH)).select("block", "text", spot.alias("spot")).collect()
-        for b, n in sizes.items():
-            own = sorted((x["spot"], x["text"]) for x in rows if x["block"] == b)
-            pivots[b] = [t for _, t in own[: max(1, min(params.max_pivots, n // params.pivot_every))]] or ["?"]
+        rows = lp.filter(F.length("text") <= PIVOT_LENGTH).withColumn("spot", spot).join(F.broadcast(shares), "block").filter("spot < share").collect()
+        drawn: dict[str, list[tuple[float, str]]] = {b: [] for b in sizes}
+        for x in rows:
+            drawn[x["block"]].append((x["spot"], x["text"]))
+        pivots = {b: [t for _, t in sorted(own)[: wanted[b]]] or ["?"] for b, own in drawn.items()}
         longest = lp.agg(F.max(F.length("text")).alias("m")).first()["m"] or 0
     shared = spark.sparkContext.broadcast(pivots)
     lanes = params.lanes
