@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.plans import general
+from kinloom.plans import blocking, general
+
+MODULES = (blocking, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**general.QUERIES}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**general.SQL}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p6_found"](spark, sf_dir)
+    return blocking.owners(spark, sf_dir)
