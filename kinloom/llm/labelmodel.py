@@ -145,14 +145,14 @@ def cast_votes(pairs: DataFrame) -> DataFrame:
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s1, o) candidate pairs of read records with ``ncls`` and ``acls``, as the module's text lists them."""
     names = organisations.match_name_classes(
-        left.select(F.col("ncls").alias("cls"), *organisations.CLASS).distinct(), right.select(F.col("ncls").alias("cls"), *organisations.CLASS).distinct()
+        left.select(F.col("ncls").alias("cls"), *organisations.CLASS), right.select(F.col("ncls").alias("cls"), *organisations.CLASS)
     )
     names = materialize(names.select(F.col("left_cls").alias("l_ncls"), F.col("right_cls").alias("ncls")), "name-pairs")
     placed = lambda df: df.filter("number <> '' and street <> ''")
     places = premises.match_address_classes(
-        placed(left).select(F.col("acls").alias("cls"), *premises.CLASS).distinct(), placed(right).select(F.col("acls").alias("cls"), *premises.CLASS).distinct()
+        placed(left).select(F.col("acls").alias("cls"), *premises.CLASS), placed(right).select(F.col("acls").alias("cls"), *premises.CLASS)
     )
-    places = places.select(F.col("left_cls").alias("l_acls"), F.col("right_cls").alias("acls"))
+    places = materialize(places.select(F.col("left_cls").alias("l_acls"), F.col("right_cls").alias("acls")), "place-pairs")
     o = right.select("o", "ncls", "acls", "trade", "number", "street", "postcode", "town", "blank")
     s = left.select("s1", F.col("ncls").alias("l_ncls"), F.col("acls").alias("l_acls"), F.col("trade").alias("l_trade"), "number", "postcode", "town", F.col("blank").alias("l_blank"))
     at_place = o.filter("number <> '' and street <> ''").join(places, "acls").select("o", "ncls", "l_acls", F.col("trade").alias("l_trade"))
@@ -180,12 +180,13 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
         df = df.withColumn("blank", F.when(F.trim(F.coalesce("business_address", F.lit(""))) == "", "1").otherwise("0"))
         got = read_records(df, True, True, ("blank",)).filter("core <> ''")
         got = got.withColumns({"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "blank": F.col("blank") == "1"})
-        return materialize(got.withColumnRenamed("id", side).dropDuplicates([side]), f"records-{side}")
+        return materialize(got.withColumnRenamed("id", side), f"records-{side}")
 
     left, right = records(s1, "s1"), records(others, "o")
     pairs = candidates(left, right)
     parts = ["core", "swapped", "trade", "given", "parent", *ADDRESS_PARTS]
-    full = pairs.join(left.select("s1", *[F.col(p).alias(f"l_{p}") for p in parts]), "s1").join(right.select("o", *[F.col(p).alias(f"r_{p}") for p in parts]), "o")
+    theirs = right.select("o", *[F.col(p).alias(f"r_{p}") for p in parts]).repartition("o").dropDuplicates(["o"])
+    full = pairs.join(left.select("s1", *[F.col(p).alias(f"l_{p}") for p in parts]), "s1").join(theirs, "o")
     cols = [f"v_{f}" for f in FUNCTIONS]
     voted = materialize(cast_votes(full).select("s1", "o", "edits", *cols), "votes")
     patterns = voted.groupBy(*cols).agg(F.count("*").alias("n")).collect()  # at most 4 ** 12 in theory, some thousands in practice
