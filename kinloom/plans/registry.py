@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.plans import blocking, general
+from kinloom.plans import blocking, general, pairs
 
-MODULES = (blocking, general)
+MODULES = (blocking, pairs, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
