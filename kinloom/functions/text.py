@@ -7,7 +7,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,9 +136,9 @@ def legal_words(col: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda w: lookup(w, lx.LEGAL)))), " ")
 
 
-def norm_name(col: Column, learned: dict[str, str] | None = None) -> dict[str, Column]:
-    """n_full, n_core, n_alt, n_legal, n_dom."""
-    return norm_romanised_name(romanise(col, learned))
+def norm_name(df: DataFrame, col: str, learned: dict[str, str] | None = None) -> DataFrame:
+    """Adds n_full, n_core, n_alt, n_legal, n_dom. The romanised text is a column first: array functions take no UDF."""
+    return df.withColumn("_text", romanise(F.col(col), learned)).withColumns(norm_romanised_name(F.col("_text"))).drop("_text")
 
 
 def norm_romanised_name(text: Column) -> dict[str, Column]:
@@ -213,9 +213,9 @@ def address_numbers(tokens: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(tokens, F.lit("([0-9]+)"), 1), lambda d: F.regexp_replace(d, "^0+(?=.)", "")), " ")
 
 
-def norm_addr(col: Column, country: Column, learned: dict[str, str] | None = None) -> dict[str, Column]:
-    """a_norm, a_nums, a_state; three empty strings for blank text."""
-    return norm_romanised_addr(romanise(col, learned), country)
+def norm_addr(df: DataFrame, col: str, country: str = "country", learned: dict[str, str] | None = None) -> DataFrame:
+    """Adds a_norm, a_nums, a_state; three empty strings for blank text."""
+    return df.withColumn("_text", romanise(F.col(col), learned)).withColumns(norm_romanised_addr(F.col("_text"), F.col(country))).drop("_text")
 
 
 def norm_romanised_addr(text: Column, country: Column) -> dict[str, Column]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.plans import blocking, general, pairs
+from kinloom.plans import blocking, general, norms, pairs
 
-MODULES = (blocking, pairs, general)
+MODULES = (blocking, norms, pairs, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
