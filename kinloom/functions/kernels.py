@@ -61,12 +61,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """K4: the best ratio of the shorter string with a window of the longer, windows at the edges cut short."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
+def _best_window(a: str, b: str) -> float:
     n, m = len(a), len(b)
     letters = set(a)
     best = 0.0
@@ -78,11 +73,19 @@ def partial_ratio(a: str, b: str) -> float:
         best = max(best, ratio(a, b[lo:hi]))
         if best == 100.0:
             break
-    if n == m:
-        best = max(best, ratio(a, b))
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """K4: the best ratio of the shorter string with a window of the longer, windows at the edges cut short; of equally
+    long strings either may be the one with windows."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 100.0 if not b else 0.0
+    return max(_best_window(a, b), _best_window(b, a)) if len(a) == len(b) else _best_window(a, b)
+
+
 def weighted_ratio(a: str, b: str) -> float:
     """K5: the plain ratio or scaled token ratios; partial ones if the lengths differ much."""
     if not a or not b:

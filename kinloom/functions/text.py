@@ -16,6 +16,8 @@ from kinloom.functions import lexicon as lx
 _ASCII = r"^[\x00-\x7F]*$"
 _HIDDEN = dict.fromkeys([*range(0x200B, 0x2010), 0xFEFF])
 _LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "’": "'"}
+# Sounds of letters whose Unicode names spell them otherwise.
+_SOUNDS = {"tta": "ta", "ttha": "tha", "dda": "da", "ddha": "dha", "nna": "na", "lla": "la", "rra": "ra", "ssa": "sha", "ca": "cha", "cha": "chha"}
 _NATIVE = re.compile("[ऀ-෿]+")
 
 
@@ -27,6 +29,7 @@ def _native_word(word: str, learned: dict[str, str]) -> str:
     for ch in word:
         name = unicodedata.name(ch, "")
         sound = name.rsplit(" ", 1)[-1].lower()
+        sound = _SOUNDS.get(sound, sound)
         if "VOWEL SIGN" in name:
             out.append(sound[0] if len(sound) > 1 and sound[0] == sound[-1] else sound)
             open_ = False
@@ -152,7 +155,7 @@ def norm_romanised_name(text: Column) -> dict[str, Column]:
         "n_full": left,
         "n_core": core_words(left),
         "n_alt": core_words(right),
-        "n_legal": legal_words(full),
+        "n_legal": legal_words(left),
         "n_dom": F.when(host != "", 1).otherwise(0).cast("tinyint"),
     }
 

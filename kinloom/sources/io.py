@@ -69,8 +69,8 @@ def read_json(spark: SparkSession, path: str) -> Any:
 
 def explode_truth(df: DataFrame) -> DataFrame:
     """(s1, o) from comma-joined lists; '' is a record without a match."""
-    listed = F.explode(F.filter(F.split("matched_entity_ids", ","), lambda x: F.trim(x) != ""))
-    return df.select(F.col("source1_entity_id").alias("s1"), F.trim(listed).alias("o"))
+    listed = F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
+    return df.select(F.col("source1_entity_id").alias("s1"), F.explode(listed).alias("o"))
 
 
 def attach_vector(pairs: DataFrame, scores: DataFrame) -> DataFrame:
