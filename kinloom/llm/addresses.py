@@ -81,7 +81,12 @@ class Address:
 BLANK = Address()
 
 
+_MIXED = re.compile(r"[a-z][0-9]|[0-9][a-z]")
+
+
 def _words(text: str) -> list[str]:
+    if not _MIXED.search(text):
+        return _WORD.findall(text)
     return [w.translate(DIGIT_LETTERS) if not w.isdigit() and any(c.isdigit() for c in w) and sum(c.isalpha() for c in w) > 2 else w for w in _WORD.findall(text)]
 
 

@@ -8,6 +8,10 @@ distances to reference pivots, range of lengths, letters in any and in all), and
 partner out are sent the string. Inside a ring the true distance decides. No pair within the radius is lost,
 whatever the pivots are.
 
+A block of up to ``member_rows`` left strings is read by the tasks that search it, one block at a time, and every member
+is tested like a ring of its own, so that only few strings are left to compare and nothing is sent; larger blocks
+are joined with the replicated strings by cell and ring.
+
 Work: one distance per string and pivot (bit-parallel, 32 lanes wide, in numpy) and one per pair that
 shares a ring. The pivots are a deterministic sample of the left strings, one for ``pivot_every`` of them, at most
 ``max_pivots`` per block; only the pivots and the ring sizes (bounded by the same parameters) reach the driver.
@@ -20,6 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,41 +96,56 @@ def letter_masks(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _dataset(uri: str) -> ds.Dataset:
+    if uri.startswith("file:"):
+        return ds.dataset("/" + uri.removeprefix("file:").lstrip("/"), format="parquet")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return ds.dataset(path, filesystem=fs, format="parquet")
+
+
 class Rings:
-    """The rings of one block's cells that hold something, with what bounds their members."""
-
-    def __init__(self, summary: pd.DataFrame, refs: list[str]) -> None:
-        self.cell = summary["cell"].to_numpy(np.int64)
-        self.ring = summary["ring"].to_numpy(np.int64)
-        self.table = np.full((int(self.cell.max()) + 1, int(self.ring.max()) + 1), -1, dtype=np.int32)
-        self.table[self.cell, self.ring] = np.arange(len(summary))
-        self.len_lo, self.len_hi = summary["len_lo"].to_numpy(np.int32), summary["len_hi"].to_numpy(np.int32)
-        self.any = summary["any_"].to_numpy(np.int64).view(np.uint64)
-        self.all = summary["all_"].to_numpy(np.int64).view(np.uint64)
-        self.lo = summary[[c + "_lo" for c in refs]].to_numpy(np.int16)
-        self.hi = summary[[c + "_hi" for c in refs]].to_numpy(np.int16)
-
-    def reached(self, d: np.ndarray, letters: np.ndarray, length: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, cell, ring) for every ring that may hold a partner of a text with pivot distances ``d``."""
-        cells = min(d.shape[1], self.table.shape[0])
+    """What bounds the members of one block's rings; with ``texts``, every member is a ring of its own."""
+
+    def __init__(self, cell: np.ndarray, ring: np.ndarray, lengths: tuple, letters: tuple, refs: tuple, texts: np.ndarray | None = None) -> None:
+        order = np.lexsort((ring, cell))
+        self.cell, self.ring = cell[order].astype(np.int64), ring[order].astype(np.int64)
+        shape = (int(self.cell.max()) + 1, int(self.ring.max()) + 1)
+        at = self.cell * shape[1] + self.ring
+        # the entries of a cell and ring lie side by side: where they start, and how many they are
+        self.count = np.bincount(at, minlength=shape[0] * shape[1]).reshape(shape)
+        self.start = (np.cumsum(self.count.ravel()) - self.count.ravel()).reshape(shape)
+        self.len_lo, self.len_hi = (x[order].astype(np.int32) for x in lengths)
+        self.any, self.all = (x[order].view(np.uint64) for x in letters)
+        self.lo, self.hi = (x[order].astype(np.int16) for x in refs)
+        self.texts = texts[order] if texts is not None else None
+
+    @classmethod
+    def of_summary(cls, s: pd.DataFrame, refs: list[str]) -> "Rings":
+        col = lambda c: s[c].to_numpy(np.int64)
+        lo, hi = (s[[c + end for c in refs]].to_numpy(np.int64) for end in ("_lo", "_hi"))
+        return cls(col("cell"), col("ring"), (col("len_lo"), col("len_hi")), (col("any_"), col("all_")), (lo, hi))
+
+    @classmethod
+    def of_members(cls, t: pd.DataFrame, refs: list[str]) -> "Rings":
+        size = t["text"].str.len().to_numpy(np.int64)
+        letters = t["letters"].to_numpy(np.int64)
+        seen = t[refs].to_numpy(np.int64)
+        return cls(t["cell"].to_numpy(np.int64), t["ring"].to_numpy(np.int64), (size, size), (letters, letters), (seen, seen), t["text"].to_numpy())
+
+    def reached(self, d: np.ndarray, letters: np.ndarray, length: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, entry) for every ring, or every member, that may be or hold a partner of a text with pivot distances ``d``."""
+        cells = min(d.shape[1], self.count.shape[0])
         d = d[:, :cells]
         near = d.min(axis=1, keepdims=True)
         low = np.maximum(np.maximum(near, d) - r, 0)
-        width = np.minimum(np.minimum(near, d) + r, self.table.shape[1] - 1) - low
-        i, j = np.nonzero(width >= 0)
-        low, width = low[i, j], width[i, j]
-        texts, sets = [], []
-        for step in range(2 * r + 1):
-            some = np.nonzero(width >= step)[0]
-            if not len(some):
-                break
-            at = self.table[j[some], low[some] + step]
-            hit = at >= 0
-            texts.append(i[some[hit]])
-            sets.append(at[hit])
-        if not texts:
-            return i[:0], i[:0], i[:0]
-        t, s = np.concatenate(texts), np.concatenate(sets)
+        high = np.minimum(np.minimum(near, d) + r, self.count.shape[1] - 1)
+        i, j = np.nonzero(high >= low)
+        low, high = low[i, j], high[i, j]
+        # neighbouring rings of a cell lie side by side too, so a span of rings is a span of entries
+        first = self.start[j, low]
+        n = self.start[j, high] + self.count[j, high] - first
+        t = np.repeat(i, n)
+        s = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         # a partner is at most r longer or shorter, and at most r letters of one are not in the other
         ok = (self.len_lo[s] - r <= length) & (length <= self.len_hi[s] + r)
         t, s = t[ok], s[ok]
@@ -135,7 +156,7 @@ class Rings:
             x = d[t, c]
             ok = (x >= self.lo[s, c] - r) & (x <= self.hi[s, c] + r)
             t, s = t[ok], s[ok]
-        return t, self.cell[s], self.ring[s]
+        return t, s
 
 
 @dataclass(frozen=True)
@@ -146,6 +167,7 @@ class RadiusParams:
     max_pivots: int = 1536
     lanes: int = 24_000
     rows_per_task: int = 20_000
+    member_rows: int = 400_000
 
 
 def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = RadiusParams()) -> DataFrame:
@@ -216,33 +238,53 @@ def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = Radius
     ints = ["cell", "ring"]
     home = T.StructType([*lp.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ints), T.StructField("letters", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in refs)])
     cells = materialize(spread(lp, sum(sizes.values())).mapInPandas(assign, home), "cells")
-    # what the members of a ring have in common: bounded by pivots and rings, whatever the size of the data
-    summary = cells.groupBy("block", "cell", "ring").agg(
+    path = cells.inputFiles()[0].rsplit("/", 1)[0] if sizes else ""
+    small = {b for b, n in sizes.items() if n <= params.member_rows}
+    shared_small = spark.sparkContext.broadcast(small)
+    # blocks beyond that size go by what the members of a ring have in common: bounded by pivots and rings
+    summary = cells.filter(~F.col("block").isin(*small)) if small else cells
+    summary = summary.groupBy("block", "cell", "ring").agg(
         F.min(F.length("text")).alias("len_lo"), F.max(F.length("text")).alias("len_hi"), F.bit_or("letters").alias("any_"), F.bit_and("letters").alias("all_"),
         *[F.min(c).alias(c + "_lo") for c in refs], *[F.max(c).alias(c + "_hi") for c in refs],
     )
-    rings: dict[str, Rings] = {b: Rings(part, refs) for b, part in summary.toPandas().groupby("block")}
+    rings: dict[str, Rings] = {}
+    if len(small) < len(sizes):
+        rings = {b: Rings.of_summary(part, refs) for b, part in summary.toPandas().groupby("block")}
     kept = spark.sparkContext.broadcast(rings)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Pivots] = {}
+        held: dict[str, Rings] = {}
         for pdf in batches:
             pdf = pdf[pdf["text"].str.len() <= longest + r].reset_index(drop=True)
             letters = letter_masks(pdf["text"].tolist()).view(np.uint64)
             blocks = pdf["block"].to_numpy()
             texts = pdf["text"].to_numpy()
             for at, d in groups(pdf, made):
-                own = kept.value.get(blocks[at[0]])
+                block = blocks[at[0]]
+                own = kept.value.get(block) or held.get(block)
+                if own is None and block in shared_small.value:
+                    held.clear()  # the rows come sorted by block: one block at a time is in memory
+                    rows = _dataset(path).to_table(filter=ds.field("block") == block).to_pandas()
+                    own = held[block] = Rings.of_members(rows, refs)
                 if own is None:
                     continue
-                i, j, k = own.reached(d, letters[at], len(texts[at[0]]), r)
+                i, k = own.reached(d, letters[at], len(texts[at[0]]), r)
                 if len(i):
                     take = at[i]
-                    yield pd.DataFrame({"block": blocks[take], "right_text": texts[take], "cell": j.astype(np.int32), "ring": k.astype(np.int32)})
+                    out = {"block": blocks[take], "right_text": texts[take], "cell": own.cell[k].astype(np.int32), "ring": own.ring[k].astype(np.int32)}
+                    yield pd.DataFrame(out | {"left_text": own.texts[k] if own.texts is not None else None})
 
-    sent_type = T.StructType([T.StructField("block", T.StringType()), T.StructField("right_text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ints)])
+    names = [("block", T.StringType()), ("right_text", T.StringType()), *((c, T.IntegerType()) for c in ints), ("left_text", T.StringType())]
+    sent_type = T.StructType([T.StructField(c, t) for c, t in names])
     sent = spread(rp, rp.count()).mapInPandas(replicate, sent_type)
-    inside = cells.select("block", "cell", "ring", F.col("text").alias("left_text"))
-    pairs = inside.join(sent, ["block", "cell", "ring"]).filter(F.abs(F.length("left_text") - F.length("right_text")) <= r)
+    if len(small) == len(sizes):
+        pairs = sent.select("block", "left_text", "right_text")
+    else:
+        sent = materialize(sent, "sent")
+        inside = cells.filter(~F.col("block").isin(*small)) if small else cells
+        joined = inside.select("block", "cell", "ring", F.col("text").alias("left_text")).join(sent.filter("left_text is null").drop("left_text"), ["block", "cell", "ring"])
+        pairs = sent.filter("left_text is not null").select("block", "left_text", "right_text").unionByName(joined.select("block", "left_text", "right_text"))
+    pairs = pairs.filter(F.abs(F.length("left_text") - F.length("right_text")) <= r)
     # levenshtein with a threshold gives -1 beyond it
     return pairs.withColumn("distance", F.levenshtein("left_text", "right_text", r)).filter("distance >= 0").select("block", "left_text", "right_text", "distance")

@@ -103,6 +103,7 @@ class Lexicon:
     def __init__(self, words: dict[str, str], fuzzy_from: int = 5) -> None:
         self.words = words
         self.fuzzy_from = fuzzy_from
+        self.longest = max(map(len, words))
         self.near: dict[str, set[str]] = {}
         for w in words:
             if len(w) >= fuzzy_from:
@@ -112,7 +113,7 @@ class Lexicon:
     def find(self, token: str) -> str | None:
         """What the token stands for: itself, or a word of at least ``fuzzy_from`` letters one edit away."""
         got = self.words.get(token)
-        if got is not None or len(token) < self.fuzzy_from - 1:
+        if got is not None or not self.fuzzy_from - 1 <= len(token) <= self.longest + 1:
             return got
         best: tuple[int, str] | None = None
         for d in deletions(token):
