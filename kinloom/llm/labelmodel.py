@@ -3,9 +3,10 @@
 Candidates come from the premises and the organisation classes (``premises``, ``organisations``): pairs that agree
 on premises and trade, on premises and organisation, or on organisation, house number and locality; and, where one side
 has no address, on an organisation with a single S1 row. Twelve matching functions vote on every candidate, each on one
-attribute: for, weakly for, not applicable, against. Votes are counted by pattern, so the model sees a table whose size
+attribute: for, weakly for, not applicable (which says nothing), against. Votes are counted by pattern, so the model sees a table whose size
 depends on the number of functions and not on the data. It is generative: given match or no match, votes follow tables
-learned by expectation maximisation without labels, first as if independent, then along the tree of the strongest
+learned by expectation maximisation without labels (pairs that the problem's own rules exclude
+anchor the class of no match, and a weak prior says that every function is better than chance), first as if independent, then along the tree of the strongest
 correlations (a spanning tree by conditional mutual information), so that functions that err together do not count
 twice. The posterior is the confidence of a match.
 
@@ -48,47 +49,86 @@ class LabelModel:
         log = np.tile(np.log([1 - self.prior, self.prior]), (len(votes), 1))
         for f, (p, t) in enumerate(zip(self.parent, self.tables, strict=True)):
             above = votes[:, p] if p >= 0 else np.zeros(len(votes), dtype=np.int64)
-            log += np.log(t[:, above, votes[:, f]].T)
+            # a function that does not apply says nothing, not even by its silence
+            log += np.where(votes[:, [f]] == ABSENT, 0.0, np.log(t[:, above, votes[:, f]].T))
         log -= log.max(axis=1, keepdims=True)
         e = np.exp(log)
         return e[:, 1] / e.sum(axis=1)
 
 
-def _tables(votes: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[int], smooth: float) -> list[np.ndarray]:
+#: What is believed of any function before it is seen at work, of pairs that do not and that do match: votes for, weakly for, against.
+BETTER_THAN_CHANCE = np.array([[0.15, 0.15, 0.0, 0.70], [0.60, 0.35, 0.0, 0.05]])
+
+
+def _tables(votes: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[int], smooth: float, belief: float = 0.05) -> list[np.ndarray]:
     out = []
+    mass = max(20.0, belief * weight.sum())
     for f, p in enumerate(parent):
         above = votes[:, p] if p >= 0 else np.zeros(len(votes), dtype=np.int64)
         t = np.full((2, 4, 4), smooth)
         # a sparse cell leans on the function's own table rather than on a flat one
         for c, r in ((0, 1 - q), (1, q)):
             own = np.bincount(votes[:, f], weights=weight * r, minlength=4) + smooth
-            t[c] += 4 * own / own.sum()
+            own[ABSENT] = 0
+            own = own + mass * BETTER_THAN_CHANCE[c]
+            t[c] += 4 * own / own.sum() + mass * BETTER_THAN_CHANCE[c]
             np.add.at(t[c], (above, votes[:, f]), weight * r)
+        t[:, :, ABSENT] = 1e-9
         out.append(t / t.sum(axis=2, keepdims=True))
     return out
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 40, smooth: float = 0.5) -> LabelModel:
-    """Learns accuracies and correlations of the functions from vote patterns (rows) and their counts."""
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, decided: np.ndarray | None = None, rounds: int = 40, smooth: float = 0.5) -> LabelModel:
+    """Learns accuracies and correlations of the functions from vote patterns (rows) and their counts.
+
+    ``decided`` has 1 or 0 for patterns that a rule makes matches or none, and -1 for those the model is to find out;
+    it keeps the two classes from changing their meaning.
+    """
     n_f = votes.shape[1]
-    against = (votes == AGAINST).sum(axis=1)
-    q = 1 / (1 + np.exp(4.0 * against - 0.6 * (votes == FOR).sum(axis=1)))
-    parent = [-1] * n_f
-    model = None
-    for stage in range(2):
-        for _ in range(rounds):
+    sure = decided >= 0 if decided is not None else np.zeros(len(votes), dtype=bool)
+
+    def start(trust: np.ndarray) -> np.ndarray:
+        said = 0.6 * (votes == FOR) - 4.0 * (votes == AGAINST)
+        q = 1 / (1 + np.exp(-(said * trust).sum(axis=1)))
+        q[sure] = decided[sure] if decided is not None else q[sure]
+        return q
+
+    def run(q: np.ndarray, parent: list[int], times: int) -> tuple[np.ndarray, LabelModel]:
+        for _ in range(times):
             prior = float(np.clip((weight * q).sum() / weight.sum(), 0.01, 0.99))
             model = LabelModel(prior, parent, _tables(votes, weight, q, parent, smooth))
             q = model.posterior(votes)
-        if stage == 0:
-            parent = correlation_tree(votes, weight, q)
+            q[sure] = decided[sure] if decided is not None else q[sure]
+        return q, model
+
+    # a few rounds as if independent show which functions err together; the rest starts anew, with a function that
+    # repeats its parent trusted less, lest repeated votes settle the classes by themselves
+    q, model = run(start(np.ones(n_f)), [-1] * n_f, 5)
+    for _ in range(4):
+        parent, strength = correlation_tree(votes, weight, q)
+        q, model = run(start(1 - strength), parent, rounds)
     return model
 
 
-def correlation_tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> list[int]:
-    """Parents in the spanning tree of greatest mutual information of votes, given the class; the root has -1."""
+def decided_by_rule(votes: np.ndarray) -> np.ndarray:
+    """0 where an attribute that separates entities disagrees, else -1."""
+    at = {f: i for i, f in enumerate(FUNCTIONS)}
+    return np.where((votes[:, [at[f] for f in VETOES]] == AGAINST).any(axis=1), 0, -1)
+
+
+#: Share of a function's information, given the class, from which on its link to its parent is kept.
+LINK = 0.1
+
+
+def correlation_tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Parents in the spanning tree of greatest mutual information of votes, given the class (-1: none, or a weak one), and the
+    share of each function's own information that its parent has already."""
     n_f = votes.shape[1]
     info = np.zeros((n_f, n_f))
+    own, shared = np.zeros(n_f), np.zeros((n_f, n_f))
+    for a in range(n_f):
+        p = np.bincount(votes[:, a], weights=weight, minlength=4) / weight.sum()
+        own[a] = -(p[p > 0] * np.log(p[p > 0])).sum()
     total = weight.sum()
     for a in range(n_f):
         for b in range(a + 1, n_f):
@@ -102,14 +142,22 @@ def correlation_tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> li
                 outer = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
                 at = joint > 0
                 info[a, b] += mass / total * (joint[at] * np.log(joint[at] / outer[at])).sum()
-            info[b, a] = info[a, b]
+            both = np.zeros((4, 4))
+            np.add.at(both, (votes[:, a], votes[:, b]), weight / total)
+            outer = both.sum(axis=1, keepdims=True) * both.sum(axis=0, keepdims=True)
+            shared[a, b] = shared[b, a] = (both[both > 0] * np.log(both[both > 0] / outer[both > 0])).sum()
+            # functions that always say the same have nothing left once the class is given; what they share at all decides then
+            info[a, b] = info[b, a] = info[a, b] + 1e-3 * shared[a, b]
     parent = [-1] * n_f
     inside = {0}
     while len(inside) < n_f:
         a, b = max(((a, b) for a in inside for b in range(n_f) if b not in inside), key=lambda x: info[x])
         parent[b] = a
         inside.add(b)
-    return parent
+    # a weak link explains little and could take the class's place: such functions stand alone
+    parent = [p if p >= 0 and info[b, p] >= LINK * own[b] else -1 for b, p in enumerate(parent)]
+    strength = np.array([min(1.0, shared[b, p] / own[b]) if p >= 0 and own[b] > 0 else 0.0 for b, p in enumerate(parent)])
+    return parent, strength
 
 
 def _vote(left: str, right: str, weak: Column | None = None) -> Column:
@@ -185,7 +233,7 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
     left, right = records(s1, "s1"), records(others, "o")
     pairs = candidates(left, right)
     parts = ["core", "swapped", "trade", "given", "parent", *ADDRESS_PARTS]
-    theirs = right.select("o", *[F.col(p).alias(f"r_{p}") for p in parts]).repartition("o").dropDuplicates(["o"])
+    theirs = right.select("o", *[F.col(p).alias(f"r_{p}") for p in parts]).repartition("o").distinct()
     full = pairs.join(left.select("s1", *[F.col(p).alias(f"l_{p}") for p in parts]), "s1").join(theirs, "o")
     cols = [f"v_{f}" for f in FUNCTIONS]
     voted = materialize(cast_votes(full).select("s1", "o", "edits", *cols), "votes")
@@ -194,7 +242,7 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
     told: list[tuple] = []
     if patterns:
         votes = np.array([[r[c] for c in cols] for r in patterns], dtype=np.int64)
-        model = fit_label_model(votes, np.array([r["n"] for r in patterns], dtype=np.float64))
+        model = fit_label_model(votes, np.array([r["n"] for r in patterns], dtype=np.float64), decided_by_rule(votes))
         told = [(*map(int, v), float(c)) for v, c in zip(votes, model.posterior(votes), strict=True)]
     known = spark.createDataFrame(told, schema)
     vetoed = " or ".join(f"v_{f} = {AGAINST}" for f in VETOES)

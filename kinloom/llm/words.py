@@ -104,6 +104,9 @@ class Lexicon:
         self.words = words
         self.fuzzy_from = fuzzy_from
         self.longest = max(map(len, words))
+        # one edit, or one transposition, leaves the first two letters or the last two as they are
+        self.starts = {w[:2] for w in words if len(w) >= fuzzy_from}
+        self.ends = {w[-2:] for w in words if len(w) >= fuzzy_from}
         self.near: dict[str, set[str]] = {}
         for w in words:
             if len(w) >= fuzzy_from:
@@ -115,6 +118,8 @@ class Lexicon:
         got = self.words.get(token)
         if got is not None or not self.fuzzy_from - 1 <= len(token) <= self.longest + 1:
             return got
+        if token[:2] not in self.starts and token[-2:] not in self.ends:
+            return None
         best: tuple[int, str] | None = None
         for d in deletions(token):
             for w in self.near.get(d, ()):
