@@ -163,6 +163,15 @@ def read_name(raw: str | None) -> Name:
     """Reads a name as typed. NULL, blank, and text without any own word give :data:`EMPTY` fields."""
     if not raw or raw.isspace():
         return EMPTY
+    return _read_again(raw) if len(raw) < 100 else _read(raw)
+
+
+@lru_cache(maxsize=50_000)
+def _read_again(raw: str) -> Name:
+    return _read(raw)
+
+
+def _read(raw: str) -> Name:
     indic = bool(INDIC.search(raw))
     text = own_part(fold(raw))
     text = _BRACKETS.sub(" ", _REFERENCE.sub(" ", text))
