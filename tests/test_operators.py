@@ -150,3 +150,14 @@ def test_stream_finds_owners(spark, rows, tmp_path):
     q = incremental.start(stream, keys, out, f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert {(r["o"], r["s1"]) for r in spark.read.parquet(out).collect()} == {("S2a", "S1a")}
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark, rows):
+    from kinloom.session import materialize, scratch
+
+    with scratch(spark):
+        inner = materialize(rows([(1,)], "a int"), "inner")
+        kept = materialize(inner, "kept", keep=True)
+    assert kept.collect()[0]["a"] == 1
+    with pytest.raises(Exception, match="(?i)not exist|does not|FILE_NOT"):
+        inner.collect()
