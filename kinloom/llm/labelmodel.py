@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from kinloom.llm import organisations, premises
 from kinloom.llm.records import ADDRESS_PARTS, read_records
-from kinloom.session import materialize
+from kinloom.session import materialize, scratch
 
 FUNCTIONS = ("name", "trade", "given", "parent", "number", "street", "kind", "compass", "postcode", "town", "state", "whole")
 #: What a vote against on these attributes does: it separates entities, whatever the others say.
@@ -192,15 +192,16 @@ def cast_votes(pairs: DataFrame) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s1, o) candidate pairs of read records with ``ncls`` and ``acls``, as the module's text lists them."""
-    names = organisations.match_name_classes(
-        left.select(F.col("ncls").alias("cls"), *organisations.CLASS), right.select(F.col("ncls").alias("cls"), *organisations.CLASS)
-    )
-    names = materialize(names.select(F.col("left_cls").alias("l_ncls"), F.col("right_cls").alias("ncls")), "name-pairs")
-    placed = lambda df: df.filter("number <> '' and street <> ''")
-    places = premises.match_address_classes(
-        placed(left).select(F.col("acls").alias("cls"), *premises.CLASS), placed(right).select(F.col("acls").alias("cls"), *premises.CLASS)
-    )
-    places = materialize(places.select(F.col("left_cls").alias("l_acls"), F.col("right_cls").alias("acls")), "place-pairs")
+    spark = left.sparkSession
+    with scratch(spark):
+        names = organisations.match_name_classes(
+            left.select(F.col("ncls").alias("cls"), *organisations.CLASS), right.select(F.col("ncls").alias("cls"), *organisations.CLASS)
+        )
+        names = materialize(names.select(F.col("left_cls").alias("l_ncls"), F.col("right_cls").alias("ncls")), "name-pairs", keep=True)
+    placed = lambda df: df.filter("number <> '' and street <> ''").select(F.col("acls").alias("cls"), *premises.CLASS)
+    with scratch(spark):
+        places = premises.match_address_classes(placed(left), placed(right))
+        places = materialize(places.select(F.col("left_cls").alias("l_acls"), F.col("right_cls").alias("acls")), "place-pairs", keep=True)
     o = right.select("o", "ncls", "acls", "trade", "number", "street", "postcode", "town", "blank")
     s = left.select("s1", F.col("ncls").alias("l_ncls"), F.col("acls").alias("l_acls"), F.col("trade").alias("l_trade"), "number", "postcode", "town", F.col("blank").alias("l_blank"))
     at_place = o.filter("number <> '' and street <> ''").join(places, "acls").select("o", "ncls", "l_acls", F.col("trade").alias("l_trade"))
