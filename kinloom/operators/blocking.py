@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.text import words
 from kinloom.params import BlockingParams
+from kinloom.session import materialize
 
 
 def _prefixed(letter: str, values: Column) -> Column:
@@ -121,8 +122,9 @@ def select_candidates(scores: DataFrame, p: BlockingParams = BlockingParams()) -
 
 
 def candidates(records: DataFrame, p: BlockingParams = BlockingParams()) -> DataFrame:
-    keys = block_keys(records)
-    composites = composite_keys(rare_keys(keys, key_stats(keys), p), p)
+    """All steps; keys and composite keys are read several times, so each is written once."""
+    keys = materialize(block_keys(records), "keys")
+    composites = materialize(composite_keys(rare_keys(keys, key_stats(keys), p), p), "composites")
     return select_candidates(pair_scores(composites, composite_weights(composites, p)), p)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import kernels as k
 from kinloom.functions.text import words
+from kinloom.session import evenly
 
 
 def attach(pairs: DataFrame, records: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -99,7 +100,7 @@ def fuzzy_coverage(pairs: DataFrame, weights: DataFrame, least: int = 85) -> Dat
     """Share of the first side's tokens that the other side has exactly or nearly, plain and weighted by rarity."""
     left = weights.filter("side = 1").select(F.col("id").alias("s1"), F.col("toks").alias("t1"), F.col("idfs").alias("w1"))
     right = weights.filter("side = 0").select(F.col("id").alias("o"), F.col("toks").alias("t2"))
-    both = pairs.join(left, "s1").join(right, "o").withColumn("near", k.near_flags(least)("t1", "t2"))
+    both = evenly(pairs.join(left, "s1").join(right, "o")).withColumn("near", k.near_flags(least)("t1", "t2"))
     exact = F.transform("t1", lambda t: F.array_contains("t2", t))
     hit = F.zip_with(exact, "near", lambda e, n: e | n)
     total = F.aggregate("w1", F.lit(0.0), lambda x, y: x + y)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import kernels as k
 from kinloom.params import StageParams
+from kinloom.session import evenly
 
 
 def competition(edges: DataFrame, p: StageParams = StageParams()) -> DataFrame:
@@ -56,7 +57,7 @@ def siblings(edges: DataFrame, records: DataFrame, p: StageParams = StageParams(
     near = edges.select("s1", "o").join(sure, "s1").filter("o <> o2")
     a = records.select("o", F.col("n_core").alias("na"), F.col("a_norm").alias("aa"))
     b = records.select(F.col("o").alias("o2"), F.col("n_core").alias("nb"), F.col("a_norm").alias("ab"))
-    full = near.join(a, "o").join(b, "o2")
+    full = evenly(near.join(a, "o").join(b, "o2"))
     full = full.withColumns({"nm": F.round(k.pairwise(k.token_sort_ratio)("na", "nb"), 6), "ad": F.when((F.col("aa") != "") & (F.col("ab") != ""), F.round(k.pairwise(k.token_set_ratio)("aa", "ab"), 6))})
     close = (F.col("nm") >= 90) & (F.col("ad") >= 80)
     agg = full.groupBy("s1", "o").agg(

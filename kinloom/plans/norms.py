@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import lexicon as lx
 from kinloom.functions import text as t
 from kinloom.plans.records import others, table
+from kinloom.session import evenly
 
 _COLS = ["entity_id", "business_name", "business_address", "country"]
 
@@ -27,11 +28,11 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norm_names(spark: SparkSession, d: str) -> DataFrame:
-    return t.norm_name(_all(spark, d), "business_name").select("entity_id", "n_full", "n_core", "n_alt", "n_legal", "n_dom")
+    return t.norm_name(evenly(_all(spark, d)), "business_name").select("entity_id", "n_full", "n_core", "n_alt", "n_legal", "n_dom")
 
 
 def norm_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return t.norm_addr(_all(spark, d), "business_address").select("entity_id", "a_norm", "a_nums", "a_state")
+    return t.norm_addr(evenly(_all(spark, d)), "business_address").select("entity_id", "a_norm", "a_nums", "a_state")
 
 
 def deleet_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ from kinloom.operators import decide, diff, features, group, metrics, models
 from kinloom.params import DecisionParams, StageParams, VocabParams
 from kinloom.plans.blocking import pseudo_truth
 from kinloom.plans.records import REC_HUB, records, table
+from kinloom.session import evenly, materialize
 
 GRID = DecisionParams().grid
 
@@ -129,15 +130,15 @@ def fuzzy_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sim_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return _named(spark, d).select("s1", "o", F.round(k.pairwise(k.ratio)(F.col("c1"), F.col("co")), 6).alias("nm_ratio"))
+    return evenly(_named(spark, d)).select("s1", "o", F.round(k.pairwise(k.ratio)(F.col("c1"), F.col("co")), 6).alias("nm_ratio"))
 
 
 def sim_token_sort(spark: SparkSession, d: str) -> DataFrame:
-    return _named(spark, d).select("s1", "o", F.round(k.pairwise(k.token_sort_ratio)(F.col("c1"), F.col("co")), 6).alias("nm_tsort"))
+    return evenly(_named(spark, d)).select("s1", "o", F.round(k.pairwise(k.token_sort_ratio)(F.col("c1"), F.col("co")), 6).alias("nm_tsort"))
 
 
 def sim_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    return _named(spark, d).select("s1", "o", F.round(k.pairwise(k.jaro_winkler)(F.col("c1"), F.col("co")), 6).alias("nm_jw"))
+    return evenly(_named(spark, d)).select("s1", "o", F.round(k.pairwise(k.jaro_winkler)(F.col("c1"), F.col("co")), 6).alias("nm_jw"))
 
 
 def sim_levenshtein(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ def sim_levenshtein(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarities(spark: SparkSession, d: str) -> DataFrame:
-    n = _named(spark, d)
+    n = evenly(_named(spark, d))
     return n.select("s1", "o", *[c.alias(x) for x, c in (features.name_similarities(F.col("c1"), F.col("co")) | features.address_similarities(F.col("d1"), F.col("do"))).items()])
 
 
@@ -155,13 +156,13 @@ def number_relation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extra_words(spark: SparkSession, d: str) -> DataFrame:
-    x = diff.extra_words(_named(spark, d), "c1", "co")
+    x = diff.extra_words(evenly(_named(spark, d)), "c1", "co")
     return x.select("s1", "o", F.array_join(F.array_sort("x_words"), " ").alias("x_words"), F.array_join(F.array_sort("d_words"), " ").alias("d_words"))
 
 
 def edit_codes(spark: SparkSession, d: str) -> DataFrame:
     """V3 where exactly one word is extra and one is missing."""
-    x = diff.extra_words(_named(spark, d), "c1", "co").filter("size(x_words) = 1 and size(d_words) = 1")
+    x = diff.extra_words(evenly(_named(spark, d)), "c1", "co").filter("size(x_words) = 1 and size(d_words) = 1")
     from pyspark.sql import types as T
 
     return x.select("s1", "o", k.pairwise(k.edit_code, T.LongType())(F.col("d_words")[0], F.col("x_words")[0]).alias("nm_edit"))
@@ -236,8 +237,6 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     n = _labelled(spark, d)
     cols = features.overlap(F.col("d1"), F.col("do"), "ad") | features.number_features(F.col("m1"), F.col("mo")) | features.flags(F.col("c1"), F.col("co"), F.col("do"), F.col("o"))
     x = n.select("s1", "o", "p", "label", *[c.alias(a) for a, c in cols.items()]).withColumnRenamed("p", "blocking")
-    from kinloom.session import materialize
-
     x = materialize(x, "training")
     names = [c for c in x.columns if c not in ("s1", "o", "label")]
     return models.out_of_fold(x, names).select("s1", "o", "p")

@@ -69,3 +69,9 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         _scratch[-1].append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """Even tasks for rows that cost much each, where the size in bytes would merge them into few."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
