@@ -215,8 +215,10 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         .select("s1", "o")
     )
     # an organisation with a single S1 row decides alone where an address is missing
-    rows = s.groupBy("l_ncls").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"))
-    alone = named.select("o", "blank", "l_ncls").join(rows, "l_ncls").groupBy("o").agg(F.sum("n").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"), F.max("blank").alias("blank"))
+    # (a record counts once however often it is delivered)
+    rows = s.groupBy("l_ncls", "s1").agg(F.max("l_blank").alias("l_blank")).groupBy("l_ncls").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"))
+    reached = named.groupBy("o", "l_ncls").agg(F.max("blank").alias("blank"))
+    alone = reached.join(rows, "l_ncls").groupBy("o").agg(F.sum("n").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"), F.max("blank").alias("blank"))
     alone = alone.filter("n = 1 and (blank or l_blank)").select("s1", "o")
     return by_trade.unionByName(by_name).unionByName(by_number).unionByName(alone).distinct()
 

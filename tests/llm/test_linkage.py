@@ -154,6 +154,13 @@ def test_link_entities(rows):
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_repeated_deliveries_count_once(rows):
+    again = others(rows).filter("entity_id in ('S2d', 'S3b')")
+    # S2d has no address, S1e (the row of S3b) has none either
+    assert [("S1b", "S2d"), ("S1e", "S3b")] == pairs(link_entities(s1(rows), again.unionByName(again)))
+    assert [("S1b", "S2d"), ("S1e", "S3b")] == pairs(link_entities(s1(rows).unionByName(s1(rows)), again))
+
+
 def test_empty_sides(rows):
     some, none = others(rows), rows([], DDL)
     for f in (same_premises, lambda a, b: same_organisation(a, b, None), link_entities):
