@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.operators import blocking as b
-from kinloom.plans.records import REC, records
+from kinloom.plans.records import REC, normed, records
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,8 @@ def owners(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (block_keys, key_stats, rare_keys, composite_keys, composite_weights, pair_estimate, pair_scores, candidates, blocking_recall, owners)}
+# the same over the normalisers, which SQL does not state
+QUERIES |= {f"normed_{name}": normed(f) for name, f in QUERIES.items()}
 
 _K = (
     REC

@@ -15,7 +15,7 @@ from kinloom.functions.text import words
 from kinloom.operators import decide, diff, features, group, metrics, models
 from kinloom.params import DecisionParams, StageParams, VocabParams
 from kinloom.plans.blocking import pseudo_truth
-from kinloom.plans.records import REC_HUB, records, table
+from kinloom.plans.records import REC_HUB, normed, records, table
 from kinloom.session import evenly, materialize
 
 GRID = DecisionParams().grid
@@ -251,6 +251,14 @@ QUERIES = {
         calibration_correlation, vocab_extension, rank_topk_edges, semi_anti_ids, hash_sample, gbt_scores,
     )
 }
+# those that read names or addresses, over the normalisers, which SQL does not state
+QUERIES |= {
+    f"normed_{f.__name__}": normed(f)
+    for f in (
+        twins, siblings, macro_f05, threshold_sweep, pair_texts, token_overlap, number_features, pair_flags, idf_tokens, fuzzy_coverage, sim_ratio,
+        sim_token_sort, sim_jaro_winkler, sim_levenshtein, similarities, number_relation, extra_words, edit_codes, gbt_scores,
+    )
+}
 
 _E = "ed as (select s1, o, round(greatest(0, s / (abs(s) + 20)), 6) as p from (select s1, o, max(bscore) as s from cand where bscore is not null and not isnan(bscore) and s1 is not null and o is not null group by s1, o))"
 _N = f"""{_E},

@@ -1,11 +1,33 @@
-"""The test tables as linkage records, with names and addresses normalised by plain rules that SQL can state too."""
+"""The test tables as linkage records, with names and addresses normalised by plain rules that SQL can state too, or,
+inside ``normed``, by the normalisers of ``functions.text``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions.text import words
+from kinloom.functions.text import norm_addr, norm_name, words
+from kinloom.session import evenly
+
+_NORMED: ContextVar[bool] = ContextVar("normed", default=False)
+
+
+def normed(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over records as ``norm_name`` and ``norm_addr`` give them, alternative names included."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        before = _NORMED.set(True)
+        try:
+            return query(spark, d)
+        finally:
+            _NORMED.reset(before)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +50,9 @@ def records(spark: SparkSession, sf_dir: str, hub: bool = False) -> DataFrame:
     """(id, country, side, n_core, n_alt, a_norm, a_nums) of both sides."""
     left = table(spark, sf_dir, "s1").select("entity_id", "business_name", "business_address", "country").withColumn("side", F.lit(1))
     both = left.unionByName(others(spark, sf_dir, hub).withColumn("side", F.lit(0)))
+    if _NORMED.get():
+        full = norm_addr(norm_name(evenly(both), "business_name"), "business_address")
+        return full.select(F.col("entity_id").alias("id"), "country", "side", "n_core", "n_alt", "a_norm", "a_nums")
     named = both.select(F.col("entity_id").alias("id"), "country", "side", plain("business_name").alias("n_core"), F.lit("").alias("n_alt"), plain("business_address").alias("a_norm"))
     return named.withColumn("a_nums", F.array_join(F.filter(words(F.col("a_norm")), lambda w: w.rlike("^[0-9]+$")), " "))
 

@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.owners(spark, sf_dir)
+    return blocking.QUERIES["normed_owners"](spark, sf_dir)
