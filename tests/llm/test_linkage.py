@@ -154,6 +154,13 @@ def test_link_entities(rows):
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_spellings_of_one_organisation_compete_together(rows):
+    names = ["Venforro Menlimi Realty", "Venfrro Menlimi Realty", "Venfrro Mnlimi Realty", "Venforro Menlimi Bakery", "Vonforru Menlimu Realty"]
+    left = rows([(f"S1{i}", x, f"{i + 10} Elm St, Dallas, TX 75001", "US", x, "", 0) for i, x in enumerate(names)], DDL)
+    right = rows([("S2a", "Venforro Menlimi Realty", "", "US", "", "", 0), ("S2b", "Venfrro Menlimi Realty Inc", "", "US", "", "", 0)], DDL)
+    assert pairs(same_organisation(left, right, None)) == [(s, o) for s in ("S10", "S11", "S12") for o in ("S2a", "S2b")]
+
+
 def test_repeated_deliveries_count_once(rows):
     again = others(rows).filter("entity_id in ('S2d', 'S3b')")
     # S2d has no address, S1e (the row of S3b) has none either
