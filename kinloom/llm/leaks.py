@@ -141,11 +141,20 @@ class ItemIndex:
         return which, self.places[np.repeat(lo, n) + within]
 
 
+def errors_of(p: LeakParams) -> int:
+    """The most errors in a stretch that fulfils the loose rule and is too short to be halved."""
+    return (2 * p.loose_words - 1) // p.loose_rate
+
+
 def _promising(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray, p: LeakParams, step: int = 20_000) -> np.ndarray:
-    """Hits around which enough words agree, on the hit's own diagonal or one of its neighbours, to fulfil a rule."""
-    reach = p.loose_words - 1
+    """Hits around which enough words agree, on the hit's own diagonal or one near by, to fulfil a rule.
+
+    A stretch of ``2 * loose_words`` or more that fulfils the loose rule has a half that does, so shorter ones are all that
+    need be looked for. They hold at most ``errors_of(p)`` errors, which bounds how far words leave the hit's diagonal.
+    """
+    reach = 2 * p.loose_words - 2
     span = np.arange(-reach, reach + p.k + 1)
-    need = p.loose_words - p.loose_words // p.loose_rate
+    most = errors_of(p)
     ok = np.zeros(len(d), dtype=bool)
     for s in range(0, len(d), step):
         dd, ii = d[s : s + step], i[s : s + step]
@@ -157,11 +166,17 @@ def _promising(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray,
         rest = np.nonzero(~good)[0]
         if len(rest):
             any_ = hit[rest]
-            for shift in range(1, p.drift + 1):
+            for shift in range(1, max(p.drift, most) + 1):
                 for sign in (-shift, shift):
                     any_ = any_ | (doc[dd[rest, None] + span + sign] == left[rest])
             run = np.concatenate([np.zeros((len(rest), 1), np.int16), np.cumsum(any_, axis=1, dtype=np.int16)], axis=1)
-            good[rest] = (run[:, p.loose_words :] - run[:, : -p.loose_words] >= need).any(axis=1)
+            # any window of the least length inside such a stretch has at most its errors; the lengths themselves for what is left
+            left_over = np.nonzero((run[:, p.loose_words :] - run[:, : -p.loose_words] >= p.loose_words - most).any(axis=1))[0]
+            run = run[left_over]
+            enough = np.zeros(len(left_over), dtype=bool)
+            for n in range(p.loose_words, 2 * p.loose_words):
+                enough |= (run[:, n:] - run[:, :-n] >= n - n // p.loose_rate).any(axis=1)
+            good[rest[left_over]] = enough
         ok[s : s + step] = good
     return ok
 
@@ -255,7 +270,7 @@ def find_in(texts: list[str | None], index: ItemIndex, p: LeakParams) -> list[tu
     item = np.searchsorted(index.starts, i, side="right") - 1
     done: set[tuple[int, int]] = set()
     tried: set[tuple[int, int, int]] = set()
-    band = p.drift + 2
+    band = max(p.drift, errors_of(p)) + 2
     for w, it, x, y in zip(where.tolist(), item.tolist(), d.tolist(), i.tolist(), strict=True):
         if (w, it) in done:
             continue

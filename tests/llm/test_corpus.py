@@ -98,6 +98,23 @@ def test_leaks(rows):
     assert {tuple(r) for r in got.collect()} == {(1, 0), (3, 2), (5, 4), (6, 5), (6, 0), (8, 1)}
 
 
+def test_leaks_of_every_length_near_the_limit():
+    rnd, p = random.Random(7), LeakParams()
+    item = passage(rnd, 60)
+    index = leaks.ItemIndex([(0, item)], p)
+
+    def found(span):
+        return leaks.find_in([" ".join(passage(rnd, 90) + span + passage(rnd, 90))], index, p) == [(0, 0)]
+
+    # every 24 words of these 30 hold five changed ones
+    assert found([w if k not in (7, 10, 14, 18, 22) else "xxxx" for k, w in enumerate(item[10:40])])
+    for n in range(24, 48):
+        for _ in range(4):
+            places = sorted(rnd.sample(range(1, n - 1), n // 6))
+            assert found([w if k not in places else "xxxx" for k, w in enumerate(item[5 : 5 + n])]), (n, places)
+            assert found([w for k, w in enumerate(item[5 : 5 + n]) if k not in places]), (n, places)
+
+
 def test_leaks_in_blocks_and_of_nothing(rows):
     rnd = random.Random(8)
     items = [(i, " ".join(passage(rnd, 30))) for i in range(5)]
