@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.functions import kernels as k
 from kinloom.functions.text import words
@@ -68,9 +69,9 @@ def noise_vocabulary(counts: DataFrame, v: VocabParams = VocabParams()) -> DataF
     return counts.filter(F.col("n") >= v.least_pairs).withColumn("score", F.round((F.col("pos") + v.prior * v.weight) / (F.col("n") + v.weight), 6)).drop("n", "pos")
 
 
-def crossfit_scores(pairs: DataFrame, kinds: dict[str, str], v: VocabParams = VocabParams()) -> DataFrame:
+def crossfit_scores(pairs: DataFrame, kinds: dict[str, str], v: VocabParams = VocabParams(), learn_from: DataFrame | None = None) -> DataFrame:
     """V5: (s1, o, kind, token, score): every pair's extra words scored by the vocabulary of the other fold, in one plan."""
-    learned = noise_vocabulary(token_counts(pairs, kinds, ["fold"]), v).select((1 - F.col("fold")).alias("fold"), "kind", "token", "score")
+    learned = noise_vocabulary(token_counts(pairs if learn_from is None else learn_from, kinds, ["fold"]), v).select((1 - F.col("fold")).alias("fold"), "kind", "token", "score")
     rows = pairs.select("s1", "o", "fold", F.explode(kinded(kinds)).alias("x")).select("s1", "o", "fold", "x.kind", "x.token")
     return rows.join(learned, ["fold", "kind", "token"], "left").select("s1", "o", "kind", "token", F.coalesce("score", F.lit(v.prior)).alias("score"))
 
@@ -80,6 +81,45 @@ def word_features(scored: DataFrame) -> DataFrame:
     return scored.groupBy("s1", "o", "kind").agg(F.count("*").alias("x_n"), F.min("score").alias("x_min"), F.round(F.avg("score"), 9).alias("x_mean"))
 
 
+#: The four vocabularies of V4 and the columns of ``extra_by_kind`` they are learned from.
+KINDS = {"n_core": "nx", "n_core_d": "nd", "a_norm": "ax", "a_norm_d": "ad"}
+
+
+def extra_by_kind(pairs: DataFrame) -> DataFrame:
+    """V1 on names (``c1``, ``co``) and addresses (``d1``, ``do``): adds nx, nd, ax, ad; no digit tokens in the last two, none where the second text is empty."""
+    out = extra_words(pairs, "c1", "co").withColumnsRenamed({"x_words": "nx", "d_words": "nd"})
+    out = extra_words(out, "d1", "do").withColumnsRenamed({"x_words": "ax", "d_words": "ad"})
+    none = F.array().cast("array<string>")
+    of = {"nx": "co", "nd": "co", "ax": "do", "ad": "do"}
+    kept = {c: F.filter(c, lambda t: ~t.rlike("^[0-9]+$")) if c[0] == "a" else F.col(c) for c in of}
+    return out.withColumns({c: F.when(F.col(of[c]) != "", kept[c]).otherwise(none) for c in of})
+
+
+def pair_features(pairs: DataFrame, scored: DataFrame) -> DataFrame:
+    """V6: the 16 features of each pair of ``extra_words`` columns nx, nd, ax, ad, by the scores of ``crossfit_scores``."""
+    per = scored.groupBy("s1", "o").agg(
+        *[f(F.when(F.col("kind") == kind, F.col("score"))).alias(f"{c}_{n}") for kind, c in KINDS.items() for n, f in (("min", F.min), ("mean", F.avg))]
+    )
+    both = pairs.join(per, ["s1", "o"], "left")
+    addressed = lambda c: F.when(F.col("do") != "", c)
+    size = lambda c: F.size(c).cast("bigint")
+    share = lambda c: F.round(F.coalesce(c, F.lit(1.0)), 9)
+    first = lambda c: F.coalesce(F.get(words(F.col(c)), F.lit(0)), F.lit(""))
+    last = lambda c: F.try_element_at(words(F.col(c)), F.lit(-1))
+    named, numbered = (F.col("c1") != "") & (F.col("co") != ""), (F.col("m1") != "") & (F.col("mo") != "")
+    one = (F.size("nx") == 1) & (F.size("nd") == 1)
+    m1, mo = F.array_distinct(words(F.col("m1"))), F.array_distinct(words(F.col("mo")))
+    f = {
+        "nm_x_n": size("nx"), "nm_x_min": share("nx_min"), "nm_x_mean": share("nx_mean"), "nm_d_n": size("nd"), "nm_d_min": share("nd_min"),
+        "ad_x_n": addressed(size("ax")), "ad_x_min": addressed(share("ax_min")), "ad_x_mean": addressed(share("ax_mean")),
+        "ad_d_n": addressed(size("ad")), "ad_d_min": addressed(share("ad_min")), "num_rel": number_relation(first("m1"), first("mo")),
+        "num_x_n": F.when(numbered, size(F.array_except(mo, m1))), "num_d_n": F.when(numbered, size(F.array_except(m1, mo))),
+        "nm_edit": F.when(one, k.pairwise(k.edit_code, T.LongType())(F.get("nd", F.lit(0)), F.get("nx", F.lit(0)))),
+        "nm_first_eq": F.when(named, (first("c1") == first("co")).cast("bigint")), "nm_last_eq": F.when(named, (last("c1") == last("co")).cast("bigint")),
+    }
+    return both.select("s1", "o", *[c.alias(x) for x, c in f.items()])
+
+
 def calibration_curve(tokens: DataFrame, v: VocabParams = VocabParams()) -> DataFrame:
     """V7: (bin, n, x, y): mean soft score and mean label share per bin, made monotone by a running maximum.
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import blocking, decide, group, metrics, models, translit
+from kinloom.operators import blocking, decide, diff, group, metrics, models, translit
 from kinloom.operators.diff import NUMBER_RELATIONS, extra_words, number_relation
 from kinloom.operators.skew import heavy_keys, tree_aggregate
 from kinloom.params import BlockingParams, DecisionParams
@@ -99,6 +99,18 @@ def test_extra_words(rows):
     assert got == [(["north"], ["bakery"]), (["x"], []), ([], ["x"])]
 
 
+def test_extra_words_of_four_kinds_and_their_features(rows):
+    ddl = "s1 string, o string, c1 string, co string, d1 string, do string, m1 string, mo string, label long, fold int"
+    df = rows([("a", "x", "blue river bakery", "blue rivr north", "12 elm street", "14 elm lane", "12", "14", 1, 0), ("a", "y", "blue", "", "12 elm", "", "12", "", 0, 0)], ddl)
+    x = diff.extra_by_kind(df)
+    assert [(r["nx"], r["nd"], r["ax"], r["ad"]) for r in x.orderBy("o").collect()] == [(["north"], ["bakery"], ["lane"], ["street"]), ([], [], [], [])]
+    scored = diff.crossfit_scores(x, diff.KINDS)
+    assert {(r["kind"], r["token"]) for r in scored.collect()} == {("n_core", "north"), ("n_core_d", "bakery"), ("a_norm", "lane"), ("a_norm_d", "street")}
+    got = {r["o"]: r.asDict() for r in diff.pair_features(df.join(x.select("s1", "o", "nx", "nd", "ax", "ad"), ["s1", "o"]), scored).collect()}
+    assert len(got["x"]) == 18 and got["x"]["ad_d_n"] == 1 and got["x"]["ad_x_min"] == 0.02 and got["x"]["nm_first_eq"] == 1 and got["x"]["num_x_n"] == 1
+    assert got["y"]["ad_x_n"] is None and got["y"]["nm_x_min"] == 1.0 and got["y"]["nm_first_eq"] is None
+
+
 def test_translit_learns_a_spelling(rows):
     recs = rows(
         [("s1", "US", 1, "vovaji foods", "pune"), ("s2", "US", 1, "vovaji motors", "pune"), ("o1", "US", 0, "वोवजि foods", "pune"), ("o2", "US", 0, "वोवजि motors", "pune")],
