@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from kinloom.functions.lexicon import STATES as STATE_CODES
 from kinloom.llm.words import DIGIT_LETTERS, fold
 
 # Kinds of street and their written forms.
@@ -18,27 +19,22 @@ FRENCH_KINDS = {"rue", "place", "route", "chemin", "allee", "impasse", "quai", "
 COMPASS = {"n": "n", "north": "n", "s": "s", "south": "s", "e": "e", "east": "e", "w": "w", "west": "w", "ne": "ne", "nw": "nw", "se": "se", "sw": "sw"}
 # Particles between the kind of a French street and its name.
 PARTICLES = {"de", "du", "des", "la", "le", "les", "l", "d", "aux", "au"}
-# States and regions with their codes.
-STATES = {
-    "US": """alabama al alaska ak arizona az arkansas ar california ca colorado co connecticut ct delaware de florida fl georgia ga hawaii hi idaho id
-illinois il indiana in iowa ia kansas ks kentucky ky louisiana la maine me maryland md massachusetts ma michigan mi minnesota mn mississippi ms missouri mo
-montana mt nebraska ne nevada nv new-hampshire nh new-jersey nj new-mexico nm new-york ny north-carolina nc north-dakota nd ohio oh oklahoma ok oregon or
-pennsylvania pa rhode-island ri south-carolina sc south-dakota sd tennessee tn texas tx utah ut vermont vt virginia va washington wa west-virginia wv
-wisconsin wi wyoming wy""",
-    "India": """andhra-pradesh ap arunachal-pradesh ar assam as bihar br chhattisgarh cg delhi dl goa ga gujarat gj haryana hr himachal-pradesh hp
-jharkhand jh karnataka ka kerala kl madhya-pradesh mp maharashtra mh manipur mn meghalaya ml mizoram mz nagaland nl odisha od punjab pb rajasthan rj
-sikkim sk tamil-nadu tn telangana ts tripura tr uttar-pradesh up uttarakhand uk west-bengal wb""",
-    "France": "",
-}
+# The departments of France as folded words, but for Paris, which is a town.
+DEPARTMENTS = """ain, aisne, allier, alpes de haute provence, hautes alpes, alpes maritimes, ardeche, ardennes, ariege, aube, aude, aveyron, bouches du rhone, calvados, cantal, charente,
+charente maritime, cher, correze, corse du sud, haute corse, cote d or, cotes d armor, creuse, dordogne, doubs, drome, eure, eure et loir, finistere, gard, haute garonne, gers, gironde,
+herault, ille et vilaine, indre, indre et loire, isere, jura, landes, loir et cher, loire, haute loire, loire atlantique, loiret, lot, lot et garonne, lozere, maine et loire, manche, marne,
+haute marne, mayenne, meurthe et moselle, meuse, morbihan, moselle, nievre, nord, oise, orne, pas de calais, puy de dome, pyrenees atlantiques, hautes pyrenees, pyrenees orientales, bas rhin,
+haut rhin, rhone, haute saone, saone et loire, sarthe, savoie, haute savoie, seine maritime, seine et marne, yvelines, deux sevres, somme, tarn, tarn et garonne, var, vaucluse, vendee,
+vienne, haute vienne, vosges, yonne, territoire de belfort, essonne, hauts de seine, seine saint denis, val de marne, val d oise, guadeloupe, martinique, guyane, reunion, mayotte"""
 _TAIL_UNITS = r"(?:p\.?\s?o\.?\s*box|pmb|b\.?p\.?|box|suite|ste|unit|apt|apartment|appt|flat|office|bureau|room|rm|floor|fl|etage|bat|batiment|desk|shop floor)"
 _UNIT = re.compile(
     rf"\b{_TAIL_UNITS}\b\.?\s*(?:no\b\.?\s*|#\s*)?(?:\d{{1,4}}\s?[a-z]?\b|[a-z]\b)(?:\-\d+\b)?|\b\d{{1,3}}(?:st|nd|rd|th|e|er|eme)\s+(?:floor|fl|etage)\b"
 )
 _LANDMARK = re.compile(
-    r"\b(?:near|nr|behind|opp(?:osite)?|across from|next to|beside|face a|derriere|pres de|a cote de)\b\.?\s*(?:(?:the|la|le|l)\b[\s']*)?"
+    r"\b(?:near|nr|behind|opp(?:osite)?|across from|next to|beside|face a[ux]?|derriere|pres d[eu]s?|a cote d[eu]s?)\b\.?\s*(?:(?:the|la|le|l)\b[\s']*)?"
     r"(?:[a-z]+\s+){0,2}?(?:pond|depot|hall|stand|office|tank|mairie|marche|gare|school|temple|church|station|bank|park|eglise|ecole)\b"
 )
-_LANDMARK_REST = re.compile(r"\b(?:near|behind|opp(?:osite)?|across from|next to|face a|derriere)\b[^,;\-]*")
+_LANDMARK_REST = re.compile(r"\b(?:near|behind|opp(?:osite)?|across from|next to|face a[ux]?|derriere|pres d[eu]s?|a cote d[eu]s?)\b[^,;\-]*")
 _NUMBER_WORD = re.compile(r"(?:\b(?:h|s|d|door|plot|shop|house|flat|survey|ph)\b[\s.]*)?\bn[o0]s?\b[\s.:]*(?=\d)|#\s*(?=\d)")
 _SPLIT = re.compile(r"\s*[,;|]\s*|\s+[-–—]+\s+|\s*[–—]\s*")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -53,8 +49,7 @@ _KINDS = {w: k for k, short in STREET_KINDS.items() for w in [k, *short.split()]
 
 
 def _state_rules(country: str) -> tuple[re.Pattern | None, dict[str, str]]:
-    words = STATES.get(country, "").split()
-    codes = {words[i].replace("-", " "): words[i + 1] for i in range(0, len(words) - 1, 2)}
+    codes = dict(STATE_CODES.get(country, {}))
     if not codes:
         return None, {}
     # romanised names have lost a silent last vowel
@@ -62,15 +57,17 @@ def _state_rules(country: str) -> tuple[re.Pattern | None, dict[str, str]]:
     return re.compile(r"\b(?:" + "|".join(sorted(codes, key=len, reverse=True)) + r")\b"), codes
 
 
-_RULES = {c: _state_rules(c) for c in STATES}
-_CODES = {c: set(_RULES[c][1].values()) for c in STATES}
+_RULES = {c: _state_rules(c) for c in _ZIP}
+_CODES = {c: set(_RULES[c][1].values()) for c in _ZIP}
+_REGIONS = {x.strip() for x in DEPARTMENTS.replace("\n", " ").split(",")}
+_LONGEST_REGION = max(x.count(" ") + 1 for x in _REGIONS)
 
 
 @dataclass(frozen=True, slots=True)
 class Address:
     number: str = ""
     compass: str = ""
-    street: str = ""  # own words of the street, without kind and particles
+    street: str = ""  # own words of the street with spaces, without kind and particles
     kind: str = ""
     town: str = ""
     state: str = ""
@@ -90,11 +87,21 @@ def _words(text: str) -> list[str]:
     return [w.translate(DIGIT_LETTERS) if not w.isdigit() and any(c.isdigit() for c in w) and sum(c.isalpha() for c in w) > 2 else w for w in _WORD.findall(text)]
 
 
+def _street_and_town(words: list[str], town_elsewhere: bool) -> tuple[list[str], list[str]]:
+    """Own words of a French street, and what follows it where nothing but its place tells it from the town."""
+    if town_elsewhere:
+        for k in range(min(_LONGEST_REGION, len(words) - 1), 0, -1):
+            if " ".join(words[-k:]) in _REGIONS:
+                return [w for w in words[:-k] if w not in PARTICLES] or words[:-k], words[-k:]
+        return [w for w in words if w not in PARTICLES] or words, []
+    return words[:1], words[1:]
+
+
 def read_address(raw: str | None, country: str | None) -> Address:
     """Reads an address as typed. NULL and blank give an address of empty parts; unknown countries are read by the US rules."""
     if not raw or raw.isspace():
         return BLANK
-    country = country if country in STATES else "US"
+    country = country if country in _ZIP else "US"
     text = " ".join(fold(raw).split())
     text = _LANDMARK_REST.sub(" ", _LANDMARK.sub(" ", text))
     unit = ""
@@ -114,8 +121,6 @@ def read_address(raw: str | None, country: str | None) -> Address:
     found = list(_ZIP[country].finditer(text))
     if found:
         m = found[-1]
-        if not number and len(found) > 1 and country != "India":
-            m = found[-1]
         postcode = "".join(g for g in m.groups() if g)
         text = text[: m.start()] + " , " + text[m.end() :]
     if not number:
@@ -154,10 +159,11 @@ def read_address(raw: str | None, country: str | None) -> Address:
                 state = c.pop()
                 break
     comps_clean: list[list[str]] = []
-    street_at = -1
+    street_at, alone = -1, True
     for k, c in enumerate(comps):
         if k == at:
             words = [w for w in c if w != "\x01"]
+            alone = not words
             street_at = len(comps_clean)
             if words:
                 comps_clean.append(words)
@@ -168,10 +174,14 @@ def read_address(raw: str | None, country: str | None) -> Address:
     def kinded(c: list[str]) -> bool:
         return any(w in _KINDS and (len(w) > 1 or i == 0) for i, w in enumerate(c)) and len(c) > 1
 
+    def elsewhere(at: int) -> bool:
+        """Whether another component can be the town."""
+        return any(k != at and any(w.isalpha() and len(w) > 1 for w in c) and " ".join(c) not in _REGIONS for k, c in enumerate(comps))
+
     if street_at >= len(comps) or street_at < 0 or (not kinded(comps[street_at]) and len(comps) > 1):
         # the number stood alone, or nowhere: the component with a kind of street is the street
         order = sorted(range(len(comps)), key=lambda k: (abs(k - max(street_at, 0) + 0.1)))
-        led = next((k for k in order if comps[k][0] in PARTICLES), min(max(street_at - (country == "France"), 0), len(comps) - 1) if comps else -1)
+        led = next((k for k in order if comps[k][0] in PARTICLES), min(max(street_at - (country == "France" and alone), 0), len(comps) - 1) if comps else -1)
         street_at = next((k for k in order if kinded(comps[k])), led)
     if street_at < 0 or not comps:
         return Address(number=number, state=state, postcode=postcode, unit=unit)
@@ -188,13 +198,12 @@ def read_address(raw: str | None, country: str | None) -> Address:
             i = lead + 1
             while i < n and words[i] in PARTICLES:
                 i += 1
-            if i < n:
-                street = [words[i]]
-            rest = [*before, *words[i + 1 :]]
+            street, rest = _street_and_town(words[i:], elsewhere(street_at))
+            rest = [*before, *rest]
         else:
             while i < n - 1 and words[i] in PARTICLES:
                 i += 1
-            street, rest = [words[i]], words[i + 1 :]
+            street, rest = _street_and_town(words[i:], elsewhere(street_at))
     else:
         if i < n - 1 and words[i] in COMPASS:
             compass = COMPASS[words[i]]
@@ -235,12 +244,14 @@ def read_address(raw: str | None, country: str | None) -> Address:
     town = ""
     if named:
         if country == "France":
-            regions = {"gironde", "isere", "herault", "finistere", "rhone", "nord"}
-            own = [c for c in named if not (len(c) == 1 and c[0] in regions)]
-            state = state or next((c[0] for c in named if len(c) == 1 and c[0] in regions), "")
-            if own and len(own[0]) > 1 and own[0][-1] in regions:
-                state, own[0] = state or own[0][-1], own[0][:-1]
+            own = [c for c in named if " ".join(c) not in _REGIONS]
+            state = state or next((" ".join(c) for c in named if " ".join(c) in _REGIONS), "")
+            if own:
+                for k in range(min(_LONGEST_REGION, len(own[0]) - 1), 0, -1):
+                    if (tail := " ".join(own[0][-k:])) in _REGIONS:
+                        state, own[0] = state or tail, own[0][:-k]
+                        break
             town = "".join(own[0]) if own else ""
         else:
             town = "".join(named[0])
-    return Address(number, compass, "".join(street), kind, town, state, postcode, unit)
+    return Address(number, compass, " ".join(street), kind, town, state, postcode, unit)

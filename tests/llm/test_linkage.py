@@ -1,14 +1,16 @@
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinloom.llm.addresses import read_address
 from kinloom.llm.labelmodel import fit_label_model, link_entities
 from kinloom.llm.metric import Pivots, RadiusParams, radius_join
 from kinloom.llm.names import read_name
 from kinloom.llm.organisations import same_organisation
-from kinloom.llm.premises import assign, same_premises
+from kinloom.llm.premises import assign, likeness, same_premises, token_keys
 from kinloom.llm.records import expand_pairs
 from kinloom.llm.words import deletions, osa
 
@@ -84,6 +86,9 @@ def test_names(raw, core, trade, given, parent):
         ("Harhenville, TX, 6197 Wirhubow Highway West, Ste 12", "US", ("6197", "w", "wirhubow", "highway", "harhenville", "tx", "")),
         ("H.No. 3010, Nirsiyam Main Rd, near water tank, Jarsopnagar, Rajasthan 363 222", "India", ("3010", "", "nirsiyam", "main road", "jarsopnagar", "rj", "363222")),
         ("Appt 81, 44 Av. de Puibevette, 33100 Gédeli-sur-Lune, Gironde", "France", ("44", "", "puibevette", "avenue", "gedelisurlune", "gironde", "33100")),
+        ("12 rue Victor Hugo, 75011 Paris", "France", ("12", "", "victor hugo", "rue", "paris", "", "75011")),
+        ("9 bd de la Mer Rouge près du marché, 56100 Lorient, Morbihan", "France", ("9", "", "mer rouge", "boulevard", "lorient", "morbihan", "56100")),
+        ("40 Green Valley Rd, Dallas, TX 75001", "US", ("40", "", "green valley", "road", "dallas", "tx", "75001")),
         ("", "US", ("",) * 7),
         (None, None, ("",) * 7),
     ],
@@ -100,6 +105,73 @@ def test_long_texts_are_read():
 
 def test_assignment_is_optimal():
     assert assign(["elmwood", "dallas"], ["dallas", "elmwood"]) == (2.0, (1, 0))
+    rnd = random.Random(3)
+    for _ in range(60):
+        a, b = words(rnd, rnd.randint(1, 4), 4, 6), words(rnd, rnd.randint(1, 5), 4, 6)
+        b[: len(a) // 2] = a[: len(a) // 2]
+        small, large = sorted((a, b), key=len)
+        best = max(sum(likeness(x, y) for x, y in zip(small, p)) for p in permutations(large, len(small)))
+        total, at = assign(a, b)
+        assert abs(total - best) < 1e-9 and abs(total - sum(likeness(a[i], b[j]) for i, j in enumerate(at) if j >= 0)) < 1e-9
+
+
+def test_token_keys_miss_no_pair_within_two_edits(rows):
+    rnd = random.Random(4)
+    pairs = []
+    for w in words(rnd, 400, 3, 11):
+        v = list(w)
+        for _ in range(rnd.randint(0, 2)):
+            i, kind = rnd.randrange(len(v)), rnd.randrange(4)
+            if kind == 0:
+                v[i] = rnd.choice("abcdefg")
+            elif kind == 1 and len(v) > 3:
+                del v[i]
+            elif kind == 2:
+                v.insert(i, rnd.choice("abcdefg"))
+            elif i + 1 < len(v):
+                v[i], v[i + 1] = v[i + 1], v[i]
+        if likeness(w, "".join(v)):
+            pairs.append((w, "".join(v)))
+    got = rows(pairs, "a string, b string").select(F.arrays_overlap(token_keys(F.col("a")), token_keys(F.col("b"))).alias("met")).collect()
+    assert len(pairs) > 200 and all(r["met"] for r in got)
+
+
+def test_premises_with_edits_order_and_shared_postcodes(rows):
+    at = lambda *xs: rows([(f"{'S1' if i % 2 == 0 else 'S2'}{i}", "", x, "US", "", "", 0) for i, x in enumerate(xs)], DDL)
+
+    def found(*xs):
+        df = at(*xs)
+        return pairs(same_premises(df.filter("entity_id like 'S1%'"), df.filter("entity_id like 'S2%'")))
+
+    same = ("12 Wirhubow St, Alphatown, TX 75999", "12 Xyrhubow St, Alphatown, TX 75999", "40 Green Valley Rd, Alphatown, TX 75999", "40 Valley Green Rd, Alphatown, TX 75999", "77 Marlbrook Ave, TX 75999", "77 Marlbrook Ave, Betatown, TX", "5 Elmwood Ct, Betatown, TX 75999", "5 Elmwod Ct, Betatwon")
+    assert found(*same) == [("S10", "S21"), ("S12", "S23"), ("S14", "S25"), ("S16", "S27")]
+    other = ("12 Wirhubow St, Alphatown, TX 75999", "12 Wirhubow Ave, Alphatown, TX 75999", "40 Green Valley Rd, Alphatown, TX 75999", "40 Green Hill Rd, Alphatown, TX 75999", "7 Elmwood Ct, Alphatown, TX 75999", "7 Elmwood Ct, Gammaville, TX", "9 N Oak St, Alphatown", "9 S Oak St, Alphatown", "8 Oak St, Alphatown", "8 Ash St, Alphatown")
+    assert found(*other) == []
+    # no locality at all on one side
+    assert found("31 Marlbrook Ave, Alphatown, TX 75999", "31 Marlbrok Ave", "32 Marlbrook Ave", "33 Marlbrook Ave, Betatown") == [("S10", "S21")]
+
+
+def test_recall_of_premises_written_differently(rows):
+    """Planted variants: other order, short forms, units, one typing error in street or town, parts left out."""
+    rnd = random.Random(5)
+    kinds = [("Street", "St"), ("Avenue", "Ave."), ("Boulevard", "Blvd"), ("Court", "Ct")]
+    towns = [w.title() for w in words(rnd, 12, 7, 10)]
+
+    def typo(w):
+        i = rnd.randrange(1, len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + "q" + w[i + 1 :], w[:i] + w[i] + w[i:]])
+
+    left, right, want = [], [], set()
+    for i in range(300):
+        n, street, town = rnd.randint(1, 9999), words(rnd, 1, 8, 11)[0].title(), rnd.choice(towns)
+        kind, short = rnd.choice(kinds)
+        post = 10000 + towns.index(town)
+        left.append((f"S1{i:04}", "", f"{n} {street} {kind}, {town}, TX {post}", "US", "", "", 0))
+        s, t = (typo(street), town) if rnd.random() < 0.5 else (street, typo(town))
+        right.append((f"S2{i:04}", "", rnd.choice([f"# {n} {s} {short}, Unit {i % 9}, {t}", f"{t}, TX {post}, No. {n} {s} {kind}", f"{n} {s}, {t}, Texas"]), "US", "", "", 0))
+        want.add((f"S1{i:04}", f"S2{i:04}"))
+    got = set(pairs(same_premises(rows(left, DDL), rows(right, DDL))))
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
 
 
 DDL = "entity_id string, business_name string, business_address string, country string, n_core string, core string, cls int"
