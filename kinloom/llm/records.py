@@ -50,12 +50,16 @@ def read_records(df: DataFrame, names: bool, addresses: bool, keep: tuple[str, .
 def expand_pairs(left: DataFrame, right: DataFrame, cell: int = 1_000_000) -> DataFrame:
     """(left_id, right_id) for rows of ``left`` (cls, left_id) and ``right`` (cls, right_id) of one class.
 
-    A class whose two sides make more than ``cell`` pairs is cut into a grid of cells of at most about that many,
-    so no task gets more however large the class is. Rows must be distinct on either side.
+    A class with more than the root of ``cell`` rows on a side is cut into parts of about that many, and every part of one side meets
+    every part of the other in a cell of its own, so no task gets more than about ``cell`` pairs of a class however large
+    it is. Rows must be distinct on either side.
     """
-    counts = left.groupBy("cls").agg(F.count("*").alias("nl")).join(right.groupBy("cls").agg(F.count("*").alias("nr")), "cls")
     side = max(1, int(cell**0.5))
-    hot = counts.filter(F.col("nl") * F.col("nr") > cell).select("cls", F.ceil(F.col("nl") / side).cast("int").alias("gl"), F.ceil(F.col("nr") / side).cast("int").alias("gr"))
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cls").agg(F.count("*").alias("n")).filter(F.col("n") > side).select("cls", F.ceil(F.col("n") / side).cast("int").alias(name))
+
+    hot = parts(left, "gl").join(parts(right, "gr"), "cls", "full").select("cls", F.coalesce("gl", F.lit(1)).alias("gl"), F.coalesce("gr", F.lit(1)).alias("gr"))
 
     def gridded(df: DataFrame, own: str, id_col: str, other: str) -> DataFrame:
         df = df.join(hot, "cls", "left").withColumns({"gl": F.coalesce("gl", F.lit(1)), "gr": F.coalesce("gr", F.lit(1))})
