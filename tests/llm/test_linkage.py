@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.addresses import read_address
 from kinloom.llm.labelmodel import fit_label_model, link_entities
-from kinloom.llm.metric import Pivots, RadiusParams, radius_join
+from kinloom.llm.metric import RadiusParams, pairs_within, radius_join, within
 from kinloom.llm.names import read_name
-from kinloom.llm.organisations import same_organisation
+from kinloom.llm.organisations import record_pairs, same_organisation
 from kinloom.llm.premises import assign, likeness, same_premises, token_keys
 from kinloom.llm.records import expand_pairs
 from kinloom.llm.words import deletions, osa
@@ -29,29 +29,56 @@ def words(rnd, n, low=4, high=12):
     return ["".join(rnd.choice("abcde") for _ in range(rnd.randint(low, high))) for _ in range(n)]
 
 
-def test_bit_parallel_distances():
+def test_pairs_within_are_those_of_the_true_distance():
     rnd = random.Random(1)
-    piv = Pivots(words(rnd, 40, 1, 31))
-    texts = ["".join(rnd.choice("abcdef") for _ in range(17)) for _ in range(30)]
-    got = piv.distances(texts)
-    assert all(got[i, j] == lev(t, w) for i, t in enumerate(texts) for j, w in enumerate(piv.words))
+    left = ["".join(rnd.choice("abcdé") for _ in range(rnd.choice([1, 3, 6, 12, 33, 40, 63, 64, 70]))) for _ in range(120)]
+    right = left[:60] + [w[:2] + "x" + w[3:] for w in left[:40]] + [w[1:] + "zz" for w in left[:40]] + ["y" * 5000]
+    params = RadiusParams(radius=3, short=((7, 1), (10, 2)))
+    i, j, d = pairs_within(left, right, params)
+    limit = lambda n: 1 if n < 7 else 2 if n < 10 else 3
+    want = {(a, b, lev(x, y)) for a, x in enumerate(left) for b, y in enumerate(right) if len(y) < 100 and lev(x, y) <= limit(min(len(x), len(y)))}
+    assert set(zip(i.tolist(), j.tolist(), d.tolist())) == want and len(i) == len(want)
+    assert within("a" * 5000, "a" * 4999 + "b", 3) == 1 and within("abc", "xyz", 2) == 3
 
 
-@pytest.mark.parametrize("members", [0, 1000])
-def test_radius_join_is_exact_on_both_routes(rows, members):
+def joined(rows, left, right, params):
+    ddl = "block string, text string, id bigint, tag string"
+    sides = [rows([(b, t, k, f"{side}{k}") for k, (b, t) in enumerate(x)], ddl) for side, x in (("l", left), ("r", right))]
+    return [tuple(r) for r in radius_join(*sides, params).collect()]
+
+
+def test_radius_join_is_exact_through_cells_of_cells(rows):
     rnd = random.Random(2)
-    left = [(rnd.choice("xy"), w) for w in words(rnd, 250)] + [("x", ""), (None, "abc"), ("x", None), ("x", "a" * 500)]
-    right = [(rnd.choice("xyz"), w) for w in words(rnd, 250)] + [("x", "b" * 5000), ("x", "")]
-    ddl = "block string, text string"
-    got = radius_join(rows(left, ddl), rows(right, ddl), RadiusParams(radius=2, pivot_every=10, references=4, member_rows=members)).collect()
-    want = {(b, t, u, lev(t, u)) for b, t in left if b and t and len(t) < 100 for c, u in right if b == c and u and len(u) < 100 and lev(t, u) <= 2}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    left = [(rnd.choice("xy"), w) for w in words(rnd, 700)] + [("x", ""), (None, "abc"), ("x", None), ("x", "a" * 500), ("x", "a" * 121)]
+    right = [(rnd.choice("xyz"), w) for w in words(rnd, 300)] + [("x", "b" * 5000), ("x", ""), ("x", "a" * 120), ("x", "a" * 499)]
+    params = RadiusParams(radius=2, cell_rows=10, pivots=4, pack_rows=50, broadcast_pivots=5)
+    got = joined(rows, left, right, params)
+    want = set()
+    for i, (b, t) in enumerate(left):
+        for j, (c, u) in enumerate(right):
+            if b and t and u and b == c and abs(len(t) - len(u)) <= 2 and (d := within(t, u, 2)) <= 2:
+                want.add((i, j, f"l{i}", f"r{j}", d))
+    assert set(got) == want and len(got) == len(want) and any(r[3] == "r303" for r in got)
+
+
+def test_radius_join_at_full_size_against_a_stated_query_set(rows):
+    """20,000 names in one block with production parameters; every id divisible by 100 is compared with all of the other side."""
+    rnd = random.Random(6)
+    syllables = [a + b for a in "bcdfgklmnprstv" for b in "aeiou"]
+    left = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(4, 8))) for _ in range(20_000)]
+    right = []
+    for w in left[:10_000]:
+        v = list(w)
+        for _ in range(rnd.randint(0, 4)):
+            v[rnd.randrange(len(v))] = rnd.choice("abcdefgh")
+        right.append("".join(v))
+    got = {(r[0], r[1]) for r in joined(rows, [("b", t) for t in left], [("b", t) for t in right], RadiusParams())}
+    for j in range(0, len(right), 100):
+        assert {i for i, k in got if k == j} == {i for i, t in enumerate(left) if within(t, right[j], 3) <= 3}
 
 
 def test_radius_join_of_nothing(rows):
-    ddl = "block string, text string"
-    some, none = rows([("x", "abc")], ddl), rows([], ddl)
-    assert radius_join(some, none).collect() == [] and radius_join(none, some).collect() == []
+    assert joined(rows, [("x", "abc")], [], RadiusParams()) == [] and joined(rows, [], [("x", "abc")], RadiusParams()) == []
 
 
 def test_osa_and_deletions():
@@ -240,6 +267,14 @@ def test_repeated_deliveries_count_once(rows):
     assert [("S1b", "S2d"), ("S1e", "S3b")] == pairs(link_entities(s1(rows).unionByName(s1(rows)), again))
 
 
+def test_large_name_classes_are_linked_through_representatives(rows):
+    left = rows([(1, f"a{i}") for i in range(6)] + [(2, "b0")], "cls int, left_id string")
+    right = rows([(1, f"x{i}") for i in range(5)] + [(2, "y0"), (2, "y1"), (3, "z")], "cls int, right_id string")
+    assert len(pairs(record_pairs(left, right, 30))) == 32
+    got = pairs(record_pairs(left, right, 29))
+    assert got == sorted([(f"a{i}", "x0") for i in range(6)] + [("a0", f"x{i}") for i in range(1, 5)] + [("b0", "y0"), ("b0", "y1")])
+
+
 def test_empty_sides(rows):
     some, none = others(rows), rows([], DDL)
     for f in (same_premises, lambda a, b: same_organisation(a, b, None), link_entities):
