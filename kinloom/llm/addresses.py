@@ -35,6 +35,8 @@ _LANDMARK = re.compile(
     r"(?:[a-z]+\s+){0,2}?(?:pond|depot|hall|stand|office|tank|mairie|marche|gare|school|temple|church|station|bank|park|eglise|ecole)\b"
 )
 _LANDMARK_REST = re.compile(r"\b(?:near|behind|opp(?:osite)?|across from|next to|face a[ux]?|derriere|pres d[eu]s?|a cote d[eu]s?)\b[^,;\-]*")
+#: What a text with a landmark contains at least: it spares most texts the patterns.
+_BESIDE = ("near", "nr", "behind", "opp", "across", "next to", "beside", "face a", "derriere", "pres d", "a cote d")
 _NUMBER_WORD = re.compile(r"(?:\b(?:h|s|d|door|plot|shop|house|flat|survey|ph)\b[\s.]*)?\bn[o0]s?\b[\s.:]*(?=\d)|#\s*(?=\d)")
 _SPLIT = re.compile(r"\s*[,;|]\s*|\s+[-–—]+\s+|\s*[–—]\s*")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -103,7 +105,8 @@ def read_address(raw: str | None, country: str | None) -> Address:
         return BLANK
     country = country if country in _ZIP else "US"
     text = " ".join(fold(raw).split())
-    text = _LANDMARK_REST.sub(" ", _LANDMARK.sub(" ", text))
+    if any(x in text for x in _BESIDE):
+        text = _LANDMARK_REST.sub(" ", _LANDMARK.sub(" ", text))
     unit = ""
     if m := _UNIT.search(text):
         unit = " ".join(_WORD.findall(m[0]))

@@ -32,7 +32,7 @@ class RadiusParams:
     radius: int = 3
     #: Strings shorter than the first number have the second as their radius; the shorter of a pair counts.
     short: tuple[tuple[int, int], ...] = ()
-    cell_rows: int = 512
+    cell_rows: int = 1024
     pivots: int = 64
     #: Strings of one side in a pack.
     pack_rows: int = 4096
@@ -205,15 +205,15 @@ def _pivot_distances(blocks: pa.Array, texts: pa.Array, pivots: dict[str, list[s
 LONGEST = 120
 
 
-def _cut(lp: DataFrame, rp: DataFrame, params: RadiusParams, limit: int) -> tuple[DataFrame, DataFrame] | None:
-    """Both sides with the blocks of more than ``limit`` left strings cut into cells; None if there are none."""
+def _cut(lp: DataFrame, rp: DataFrame, params: RadiusParams, limit: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """Both sides with the blocks of more than ``limit`` left strings cut into cells, and the rows of the largest cell; None if there are none."""
     spark, r = lp.sparkSession, params.radius
     large = materialize(lp.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "large")
     total = large.agg(F.sum(F.least(F.lit(params.pivots), F.ceil(F.col("n") / params.cell_rows))).alias("p")).first()["p"]
     if not total:
         return None
     passes = -(-int(total) // params.broadcast_pivots)
-    lefts, rights = [], []
+    lefts, rights, largest = [], [], 0
     for k in range(passes):
         some = large.filter(F.pmod(F.xxhash64("block"), F.lit(passes)) == k)
         spot = F.xxhash64("text")
@@ -242,8 +242,9 @@ def _cut(lp: DataFrame, rp: DataFrame, params: RadiusParams, limit: int) -> tupl
         own = materialize(lp.join(F.broadcast(some.select("block")), "block", "left_semi").select(*POINT.names).mapInArrow(assign, shape), "cells")
         # rings present in each cell, one bit each; bounded by the pivots
         rings: dict[str, np.ndarray] = {b: np.zeros(len(p) + 1, dtype=np.uint64) for b, p in pivots.items()}
-        for row in own.groupBy("block", "cell").agg(F.bit_or("ring").alias("m")).toLocalIterator():
+        for row in own.groupBy("block", "cell").agg(F.bit_or("ring").alias("m"), F.count("*").alias("n")).toLocalIterator():
             rings[row["block"]][row["cell"]] = np.uint64(row["m"])
+            largest = max(largest, row["n"])
         seen = spark.sparkContext.broadcast(rings)
 
         def replicate(batches: Iterator[pa.RecordBatch], held=held, seen=seen) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def _cut(lp: DataFrame, rp: DataFrame, params: RadiusParams, limit: int) -> tupl
     lp, rp = (x.join(large.select("block"), "block", "left_anti") for x in (lp, rp))
     for a, b in zip(lefts, rights, strict=True):
         lp, rp = lp.unionByName(a), rp.unionByName(b)
-    return lp, rp
+    return lp, rp, largest
 
 
 def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = RadiusParams()) -> DataFrame:
@@ -299,8 +300,10 @@ def radius_join(left: DataFrame, right: DataFrame, params: RadiusParams = Radius
         cut = _cut(lp, rp, params, limit)
         if cut is None:
             break
-        lp, rp = cut
+        lp, rp, largest = cut
         limit = 4 * params.cell_rows  # what is not much larger than a cell is left alone
+        if largest <= limit:
+            break
     entry = F.struct("text", "id", "tag")
     few = lp.groupBy("block").agg(F.ceil(F.count("*") / params.pack_rows).cast("int").alias("packs"))
     ours = lp.join(few, "block").withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.col("packs"))).groupBy("block", "chunk").agg(F.collect_list(entry).alias("ours")).drop("chunk")

@@ -47,6 +47,9 @@ GIVEN = {
 OWN_AFTER = re.compile(r"\b(?:d\s*/\s*b\s*/\s*a|dba|trading\s+as|t\s*/\s*a|doing\s+business\s+as)\b[\s:]*")
 OWN_BEFORE = re.compile(r"[(\[]?\s*\b(?:formerly(?:\s+known\s+as)?|f\s*/\s*k\s*/\s*a|fka|aka|a\s*/\s*k\s*/\s*a|also\s+known\s+as)\b.*$", re.S)
 
+#: What a text with a second name contains at least: it spares most texts the patterns.
+_SECOND = ("/", "dba", "trading", "doing", "formerly", "fka", "aka", "also")
+_DIGIT = re.compile("[0-9]")
 _REFERENCE = re.compile(r"\(?\b(?:ref|id|reg)\b[\s.:#]*(?:n[o0]\b)?[\s.:#]*\d+\)?|#\s*\d+|\b\d{5,}\b")
 _BRACKETS = re.compile(r"\([^)]*\)")
 _DOMAIN = re.compile(r"^(?:www\.)?([a-z0-9\-]{4,})\.(?:co\.in|com|net|us|in|fr|org)$")
@@ -151,6 +154,8 @@ def _cut_trade(word: str) -> tuple[str, str]:
 
 def own_part(text: str) -> str:
     """The own name of a folded text that may also give a former or second name."""
+    if not any(x in text for x in _SECOND):
+        return text
     if m := OWN_AFTER.search(text):
         rest = text[m.end() :]
         if rest.strip():
@@ -174,16 +179,21 @@ def _read_again(raw: str) -> Name:
 def _read(raw: str) -> Name:
     indic = bool(INDIC.search(raw))
     text = own_part(fold(raw))
-    text = _BRACKETS.sub(" ", _REFERENCE.sub(" ", text))
+    if _DIGIT.search(text):
+        text = _REFERENCE.sub(" ", text)
+    if "(" in text:
+        text = _BRACKETS.sub(" ", text)
     text = _LEAD.sub("", text.strip()).removeprefix("m/s ")
     pieces: list[str] = []
-    for piece in text.split():
-        m = _DOMAIN.match(piece)
-        pieces.append(m[1] if m else piece)
-    text = " ".join(pieces).replace(".", "" if "." in text else ".").replace("'", "")
+    if "." in text:
+        for piece in text.split():
+            m = _DOMAIN.match(piece)
+            pieces.append(m[1] if m else piece)
+        text = " ".join(pieces).replace(".", "")
+    text = text.replace("'", "")
     text = _NOT_WORD.sub(" ", text.replace("&", " and ").replace("+", " and ")).strip()
     text = _SPELT.sub(lambda m: m[1].replace(" ", "") if m[1].replace(" ", "") in _SPELT_FORMS else m[0], text)
-    tokens = [t for t in text.split() if not _FOREIGN.search(t)]
+    tokens = text.split() if text.isascii() else [t for t in text.split() if not _FOREIGN.search(t)]
     tokens = [t for t in tokens if not t.isdigit()]
     names: list[str] = []
     trade = given = parent = ""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +32,19 @@ def read_records(df: DataFrame, names: bool, addresses: bool, keep: tuple[str, .
     cols = [*(NAME_PARTS if names else ()), *(ADDRESS_PARTS if addresses else ())]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ["id", "country", *keep, *cols]])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = {"id": pdf["id"], "country": pdf["country"], **{k: pdf[k] for k in keep}}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch["id"], batch["country"], *(batch[k] for k in keep)]
             if names:
-                got = [read_name(x) for x in pdf["business_name"].tolist()]
-                out |= {"core": [x.core for x in got], "swapped": [swapped(x.words) for x in got], "trade": [x.trade for x in got], "given": [x.given for x in got], "parent": [x.parent for x in got]}
+                got = [read_name(x) for x in batch["business_name"].to_pylist()]
+                out += [pa.array(x, pa.string()) for x in ([n.core for n in got], [swapped(n.words) for n in got], [n.trade for n in got], [n.given for n in got], [n.parent for n in got])]
             if addresses:
-                read_ = [read_address(x, c) for x, c in zip(pdf["business_address"].tolist(), pdf["country"].tolist(), strict=True)]
-                out |= {p: [getattr(x, p) for x in read_] for p in ADDRESS_PARTS}
-            yield pd.DataFrame(out)
+                read_ = [read_address(x, c) for x, c in zip(batch["business_address"].to_pylist(), batch["country"].to_pylist(), strict=True)]
+                out += [pa.array([getattr(x, p) for x in read_], pa.string()) for p in ADDRESS_PARTS]
+            yield pa.RecordBatch.from_arrays(out, schema.names)
 
     slim = df.select(F.col("entity_id").alias("id"), F.coalesce("country", F.lit("")).alias("country"), *keep, *source).filter(F.col("id").isNotNull())
-    return slim.mapInPandas(read, schema)
+    return slim.mapInArrow(read, schema)
 
 
 def expand_pairs(left: DataFrame, right: DataFrame, cell: int = 1_000_000) -> DataFrame:
