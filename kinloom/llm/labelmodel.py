@@ -1,17 +1,15 @@
 """Problem 5: matching entities across sources without keys, by a label model.
 
-Candidates come from the premises and the organisation classes (``premises``, ``organisations``): pairs that agree
-on premises and trade, on premises and organisation, or on organisation, house number and locality; and, where one side
-has no address, on an organisation with a single S1 row. Twelve matching functions vote on every candidate, each on one
-attribute: for, weakly for, not applicable (which says nothing), against. Votes are counted by pattern, so the model sees a table whose size
-depends on the number of functions and not on the data. It is generative: given match or no match, votes follow tables
-learned by expectation maximisation without labels (pairs that the problem's own rules exclude
-anchor the class of no match, and a weak prior says that every function is better than chance), first as if independent, then along the tree of the strongest
-correlations (a spanning tree by conditional mutual information), so that functions that err together do not count
-twice. The posterior is the confidence of a match.
-
-An exact check follows: a vote against on an attribute that by the problem's statement separates entities (other
-trade, number, kind of street and so on) is a veto. A record of the other sources keeps its best S1 row.
+Candidates are all pairs of an S1 row and a record at the same premises (``premises``) whose trades and parent-body words do not
+contradict, whatever their names; and, where a side has no usable address, the pairs of one organisation
+(``organisations``) that has a single S1 row. Matching functions vote on every candidate, each on one look at the names or
+addresses: for, weakly for, not applicable (which says nothing), against. Votes are counted by pattern, so the model sees a
+table whose size depends on the number of functions and not on the data. It is generative: given match or no match, votes follow
+tables learned by expectation maximisation without labels (a weak prior says that every function is better than chance),
+first as if independent, then along the tree of the strongest correlations (a spanning tree by conditional mutual
+information), so that functions that err together do not count twice. The posterior is the confidence of a match, and
+decides; no vote is a veto. What excludes a pair before the vote is only what the problem states: another trade, parent body, house
+number, kind of street or compass part. A record of the other sources keeps its best S1 row.
 
 Defined results: S1 rows without a name match nothing, nor do records without one; missing addresses leave the
 organisation to decide; ties in confidence go to the nearer name, then to the smaller S1 id; repeated deliveries count
@@ -23,17 +21,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinloom.llm import organisations, premises
-from kinloom.llm.records import ADDRESS_PARTS, read_records
+from kinloom.llm.records import core, read_records, swapped
 from kinloom.session import materialize, scratch
 
-FUNCTIONS = ("name", "trade", "given", "parent", "number", "street", "kind", "compass", "postcode", "town", "state", "whole")
-#: What a vote against on these attributes does: it separates entities, whatever the others say.
-VETOES = ("name", "trade", "given", "parent", "number", "street", "kind", "compass", "postcode", "state")
+FUNCTIONS = ("name", "share", "letters", "first", "last", "given", "trade", "street", "postcode", "town", "state")
 FOR, WEAK, ABSENT, AGAINST = 0, 1, 2, 3
 
 
@@ -60,7 +56,7 @@ class LabelModel:
 BETTER_THAN_CHANCE = np.array([[0.15, 0.15, 0.0, 0.70], [0.60, 0.35, 0.0, 0.05]])
 
 
-def _tables(votes: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[int], smooth: float, belief: float = 0.05) -> list[np.ndarray]:
+def _tables(votes: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[int], smooth: float, belief: float = 0.002) -> list[np.ndarray]:
     out = []
     mass = max(20.0, belief * weight.sum())
     for f, p in enumerate(parent):
@@ -78,27 +74,19 @@ def _tables(votes: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[i
     return out
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, decided: np.ndarray | None = None, rounds: int = 40, smooth: float = 0.5) -> LabelModel:
-    """Learns accuracies and correlations of the functions from vote patterns (rows) and their counts.
-
-    ``decided`` has 1 or 0 for patterns that a rule makes matches or none, and -1 for those the model is to find out;
-    it keeps the two classes from changing their meaning.
-    """
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 40, smooth: float = 0.5) -> LabelModel:
+    """Learns accuracies and correlations of the functions from vote patterns (rows) and their counts."""
     n_f = votes.shape[1]
-    sure = decided >= 0 if decided is not None else np.zeros(len(votes), dtype=bool)
 
     def start(trust: np.ndarray) -> np.ndarray:
-        said = 0.6 * (votes == FOR) - 4.0 * (votes == AGAINST)
-        q = 1 / (1 + np.exp(-(said * trust).sum(axis=1)))
-        q[sure] = decided[sure] if decided is not None else q[sure]
-        return q
+        said = 1.0 * (votes == FOR) + 0.5 * (votes == WEAK) - 1.5 * (votes == AGAINST)
+        return 1 / (1 + np.exp(-(said * trust).sum(axis=1)))
 
     def run(q: np.ndarray, parent: list[int], times: int) -> tuple[np.ndarray, LabelModel]:
         for _ in range(times):
             prior = float(np.clip((weight * q).sum() / weight.sum(), 0.01, 0.99))
             model = LabelModel(prior, parent, _tables(votes, weight, q, parent, smooth))
             q = model.posterior(votes)
-            q[sure] = decided[sure] if decided is not None else q[sure]
         return q, model
 
     # a few rounds as if independent show which functions err together; the rest starts anew, with a function that
@@ -110,12 +98,6 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, decided: np.ndarray |
     return model
 
 
-def decided_by_rule(votes: np.ndarray) -> np.ndarray:
-    """0 where an attribute that separates entities disagrees, else -1."""
-    at = {f: i for i, f in enumerate(FUNCTIONS)}
-    return np.where((votes[:, [at[f] for f in VETOES]] == AGAINST).any(axis=1), 0, -1)
-
-
 #: Share of a function's information, given the class, from which on its link to its parent is kept.
 LINK = 0.1
 
@@ -160,67 +142,66 @@ def correlation_tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> tu
     return parent, strength
 
 
-def _vote(left: str, right: str, weak: Column | None = None) -> Column:
-    a, b = F.col(left), F.col(right)
-    v = F.when((a == "") | (b == ""), ABSENT).when(a == b, FOR)
-    return (v.when(weak, WEAK) if weak is not None else v).otherwise(AGAINST)
+def _vote(left: Column, right: Column, weak: Column) -> Column:
+    return F.when((left == "") | (right == ""), ABSENT).when(left == right, FOR).when(weak, WEAK).otherwise(AGAINST)
 
 
 def cast_votes(pairs: DataFrame) -> DataFrame:
-    """Adds a column ``v_<function>`` for each matching function, and ``edits``, the edits between the names."""
-    edits = F.least(F.levenshtein("l_core", "r_core"), F.when(F.col("r_swapped") != "", F.levenshtein("l_core", "r_swapped")).otherwise(F.lit(10_000)))
-    pairs = pairs.withColumn("edits", edits)
-    size = F.greatest(F.length("l_core"), F.length("r_core"))
-    near = lambda c, k: F.levenshtein(f"l_{c}", f"r_{c}", k) >= 0
+    """Adds a column ``v_<function>`` for each matching function, and ``edits``, the edits between the names in their better order."""
+    a, b, t = core("l_words"), core("r_words"), swapped("r_words")
+    edits = F.least(F.levenshtein(a, b), F.when(t != "", F.levenshtein(a, t)).otherwise(F.lit(10_000)))
+    pairs = pairs.withColumns({"edits": edits, "size": F.greatest(F.length(a), F.length(b))})
+    sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    jumbled = F.levenshtein(sorted_(a), sorted_(b))
+    # the beginnings and the ends of the names, in the order in which they are nearer
+    turned = F.levenshtein(a, b) > F.col("edits")
+    other = F.when(turned, t).otherwise(b)
+    near = lambda x, y: F.when(x == y, FOR).when(F.levenshtein(x, y, 2) >= 0, WEAK).otherwise(AGAINST)
+    close = lambda c, k: (F.levenshtein(f"l_{c}", f"r_{c}", k) >= 0) & (F.least(F.length(f"l_{c}"), F.length(f"r_{c}")) >= 4)
+    of = lambda c: (F.col(f"l_{c}"), F.col(f"r_{c}"))
     votes = {
-        "name": F.when(F.col("edits") == 0, FOR).when(F.col("edits") <= size * 0.3, WEAK).otherwise(AGAINST),
-        "trade": _vote("l_trade", "r_trade"),
-        "given": _vote("l_given", "r_given", organisations.given_agree("l_given", "r_given")),
-        "parent": F.when(F.col("l_parent") == F.col("r_parent"), FOR).otherwise(AGAINST),
-        "number": _vote("l_number", "r_number"),
-        "street": _vote("l_street", "r_street", near("street", 4) & (F.least(F.length("l_street"), F.length("r_street")) >= 5)),
-        "kind": _vote("l_kind", "r_kind"),
-        "compass": _vote("l_compass", "r_compass"),
-        "postcode": _vote("l_postcode", "r_postcode"),
-        "town": _vote("l_town", "r_town", near("town", 3)),
-        "state": _vote("l_state", "r_state"),
-        # the whole name with all its words, as a second, correlated look at it
-        "whole": F.when((F.col("l_core") == F.col("r_core")) & (F.col("l_given") == F.col("r_given")), FOR).when(F.col("edits") <= 2, WEAK).otherwise(AGAINST),
+        "name": F.when(F.col("edits") == 0, FOR).when(F.col("edits") <= 2, WEAK).otherwise(AGAINST),
+        "share": F.when(F.col("edits") <= F.col("size") * 0.15, FOR).when(F.col("edits") <= F.col("size") * 0.4, WEAK).otherwise(AGAINST),
+        # letters whatever their order: transposed ones cost nothing
+        "letters": F.when(jumbled <= 1, FOR).when(jumbled <= F.col("size") * 0.3, WEAK).otherwise(AGAINST),
+        "first": near(F.substring(a, 1, 6), F.substring(other, 1, 6)),
+        "last": near(F.substring(a, -6, 6), F.substring(other, -6, 6)),
+        "given": _vote(*of("given"), organisations.given_agree("l_given", "r_given")),
+        "trade": _vote(*of("trade"), F.lit(False)),
+        "street": _vote(*of("street"), close("street", 4)),
+        "postcode": _vote(*of("postcode"), F.lit(False)),
+        "town": _vote(*of("town"), close("town", 3)),
+        "state": _vote(*of("state"), F.lit(False)),
     }
-    return pairs.withColumns({f"v_{k}": v.cast("int") for k, v in votes.items()})
+    return pairs.withColumns({f"v_{k}": v.cast("int") for k, v in votes.items()}).drop("size")
+
+
+PARTS = ("words", "trade", "given", "street", "postcode", "town", "state")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(s1, o) candidate pairs of read records with ``ncls`` and ``acls``, as the module's text lists them."""
-    spark = left.sparkSession
-    with scratch(spark):
-        names = organisations.match_name_classes(
-            left.select(F.col("ncls").alias("cls"), *organisations.CLASS), right.select(F.col("ncls").alias("cls"), *organisations.CLASS)
-        )
-        names = materialize(names.select(F.col("left_cls").alias("l_ncls"), F.col("right_cls").alias("ncls")), "name-pairs", keep=True)
-    placed = lambda df: df.filter("number <> '' and street <> ''").select(F.col("acls").alias("cls"), *premises.CLASS)
-    with scratch(spark):
-        places = premises.match_address_classes(placed(left), placed(right))
-        places = materialize(places.select(F.col("left_cls").alias("l_acls"), F.col("right_cls").alias("acls")), "place-pairs", keep=True)
-    o = right.select("o", "ncls", "acls", "trade", "number", "street", "postcode", "town", "blank")
-    s = left.select("s1", F.col("ncls").alias("l_ncls"), F.col("acls").alias("l_acls"), F.col("trade").alias("l_trade"), "number", "postcode", "town", F.col("blank").alias("l_blank"))
-    at_place = o.filter("number <> '' and street <> ''").join(places, "acls").select("o", "ncls", "l_acls", F.col("trade").alias("l_trade"))
-    by_trade = s.join(at_place.select("o", "l_acls", "l_trade"), ["l_acls", "l_trade"]).select("s1", "o")
-    named = o.join(names, "ncls")
-    by_name = s.join(at_place.filter("l_trade = ''").join(names, "ncls").select("o", "l_acls", "l_ncls"), ["l_acls", "l_ncls"]).select("s1", "o")
-    spots = F.explode(F.filter(F.array(F.when(F.col("postcode") != "", F.concat(F.lit("p"), "postcode")), F.when(F.col("town") != "", F.concat(F.lit("t"), "town"))), lambda x: x.isNotNull()))
-    by_number = (
-        s.filter("number <> ''").withColumn("spot", spots).select("s1", "l_ncls", "number", "spot")
-        .join(named.filter("number <> ''").withColumn("spot", spots).select("o", "l_ncls", "number", "spot"), ["l_ncls", "number", "spot"])
-        .select("s1", "o")
-    )
+    """(s1, o, l_..., r_...) candidate pairs of read records with ``ncls``, ``acls`` and ``placed``, as the module's text lists them."""
+    placed = lambda df: df.filter("placed").select(F.col("acls").alias("cls"), *premises.CLASS)
+    places = premises.match_address_classes(placed(left), placed(right))
+    places = materialize(places.select(F.col("left_cls").alias("acls"), F.col("right_cls").alias("r_acls")), "place-pairs")
+    names = materialize(
+        organisations.match_name_classes(
+            *(x.select(F.col("ncls").alias("cls"), *organisations.CLASS) for x in (left, right)), asked=tuple(x.filter("not placed").select(F.col("ncls").alias("cls")).distinct() for x in (left, right))
+        ).select(F.col("left_cls").alias("ncls"), F.col("right_cls").alias("r_ncls")),
+        "name-pairs",
+    )
+    ours = left.select("s1", "ncls", "acls", "placed", "parent", *[F.col(p).alias(f"l_{p}") for p in PARTS])
+    theirs = right.select("o", F.col("ncls").alias("r_ncls"), F.col("acls").alias("r_acls"), F.col("placed").alias("r_placed"), F.col("parent").alias("r_parent"), *[F.col(p).alias(f"r_{p}") for p in PARTS])
+    # those at one premises meet by trade, or where one states none: a premises with many trades is no single block
+    here = ours.filter("placed").withColumn("k", F.explode(F.when(F.col("l_trade") == "", F.array(F.lit("none"), F.lit("all"))).otherwise(F.array(F.concat(F.lit("="), "l_trade"), F.lit("all")))))
+    there = theirs.filter("r_placed").join(places, "r_acls").withColumn("k", F.explode(F.when(F.col("r_trade") == "", F.array(F.lit("all"))).otherwise(F.array(F.concat(F.lit("="), "r_trade"), F.lit("none")))))
+    drop = ["acls", "r_acls", "ncls", "r_ncls", "placed", "r_placed", "parent", "r_parent", "k"]
+    together = here.join(there, ["acls", "k"]).filter("parent = r_parent").drop(*drop)
     # an organisation with a single S1 row decides alone where an address is missing
-    # (a record counts once however often it is delivered)
-    rows = s.groupBy("l_ncls", "s1").agg(F.max("l_blank").alias("l_blank")).groupBy("l_ncls").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"))
-    reached = named.groupBy("o", "l_ncls").agg(F.max("blank").alias("blank"))
-    alone = reached.join(rows, "l_ncls").groupBy("o").agg(F.sum("n").alias("n"), F.min("s1").alias("s1"), F.max("l_blank").alias("l_blank"), F.max("blank").alias("blank"))
-    alone = alone.filter("n = 1 and (blank or l_blank)").select("s1", "o")
-    return by_trade.unionByName(by_name).unionByName(by_number).unionByName(alone).distinct()
+    rows = ours.select("ncls", "s1").distinct().groupBy("ncls").agg(F.count("*").alias("n"))
+    single = names.join(rows, "ncls").groupBy("r_ncls").agg(F.sum("n").alias("n"), F.min("ncls").alias("ncls")).filter("n = 1").drop("n")
+    alone = ours.join(single, "ncls").join(theirs, "r_ncls").filter("not (placed and r_placed)").drop(*drop)
+    return together.unionByName(alone)
 
 
 def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataFrame:
@@ -228,28 +209,22 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
     spark = s1.sparkSession
 
     def records(df: DataFrame, side: str) -> DataFrame:
-        df = df.withColumn("blank", F.when(F.trim(F.coalesce("business_address", F.lit(""))) == "", "1").otherwise("0"))
-        got = read_records(df, True, True, ("blank",)).filter("core <> ''")
-        got = got.withColumns({"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "blank": F.col("blank") == "1"})
-        return materialize(got.withColumnRenamed("id", side), f"records-{side}")
-
-    left, right = records(s1, "s1"), records(others, "o")
-    pairs = candidates(left, right)
-    parts = ["core", "swapped", "trade", "given", "parent", *ADDRESS_PARTS]
-    theirs = right.select("o", *[F.col(p).alias(f"r_{p}") for p in parts]).repartition("o").distinct()
-    full = pairs.join(left.select("s1", *[F.col(p).alias(f"l_{p}") for p in parts]), "s1").join(theirs, "o")
-    cols = [f"v_{f}" for f in FUNCTIONS]
-    voted = materialize(cast_votes(full).select("s1", "o", "edits", *cols), "votes")
-    patterns = voted.groupBy(*cols).agg(F.count("*").alias("n")).collect()  # at most 4 ** 12 in theory, some thousands in practice
-    schema = T.StructType([*(T.StructField(c, T.IntegerType()) for c in cols), T.StructField("confidence", T.DoubleType())])
-    told: list[tuple] = []
-    if patterns:
-        votes = np.array([[r[c] for c in cols] for r in patterns], dtype=np.int64)
-        model = fit_label_model(votes, np.array([r["n"] for r in patterns], dtype=np.float64), decided_by_rule(votes))
-        told = [(*map(int, v), float(c)) for v, c in zip(votes, model.posterior(votes), strict=True)]
-    known = spark.createDataFrame(told, schema)
-    vetoed = " or ".join(f"v_{f} = {AGAINST}" for f in VETOES)
-    # a town against is a veto unless the postcode agrees
-    good = voted.join(known, cols).filter(f"not ({vetoed}) and (v_town <> {AGAINST} or v_postcode = {FOR})").filter(F.col("confidence") >= least)
-    best = Window.partitionBy("o").orderBy(F.desc("confidence"), "edits", "s1")
-    return good.withColumn("k", F.row_number().over(best)).filter("k = 1").select("s1", "o", "confidence")
+        got = read_records(df, True, True).filter("words <> ''")
+        ids = {"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "placed": (F.col("number") != "") & (F.col("street") != "")}
+        return materialize(got.withColumns(ids).withColumnRenamed("id", side), f"records-{side}")
+
+    with scratch(spark):
+        left, right = records(s1, "s1"), records(others, "o")
+        # a pattern of votes as one number, two bits a function
+        pattern = sum((F.shiftleft(F.col(f"v_{f}"), 2 * i) for i, f in enumerate(FUNCTIONS)), F.lit(0)).alias("pattern")
+        voted = materialize(cast_votes(candidates(left, right)).select("s1", "o", "edits", pattern), "votes")
+        counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 4 ** 11 in theory, some thousands in practice
+        known = pa.table({"pattern": pa.array([], pa.int32()), "confidence": pa.array([], pa.float64())})
+        if len(counts):
+            votes = counts["pattern"].to_numpy()[:, None] >> (2 * np.arange(len(FUNCTIONS))) & 3
+            model = fit_label_model(votes, counts["n"].to_numpy(dtype=np.float64))
+            known = pa.table({"pattern": pa.array(counts["pattern"].to_numpy(), pa.int32()), "confidence": model.posterior(votes)})
+        known = spark.createDataFrame(known)
+        best = Window.partitionBy("o").orderBy(F.desc("confidence"), "edits", "s1")
+        good = voted.join(F.broadcast(known), "pattern").filter(F.col("confidence") >= least)
+        return materialize(good.withColumn("k", F.row_number().over(best)).filter("k = 1").select("s1", "o", "confidence"), "links", keep=True)

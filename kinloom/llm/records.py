@@ -5,21 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.llm.addresses import read_address
 from kinloom.llm.names import read_name
 
-NAME_PARTS = ("core", "swapped", "trade", "given", "parent")
+NAME_PARTS = ("words", "trade", "given", "parent")
 ADDRESS_PARTS = ("number", "compass", "street", "kind", "town", "state", "postcode")
 
 
-def swapped(words: str) -> str:
-    """The words with the first moved to the end, run together; '' for a single word."""
-    first, _, rest = words.partition(" ")
-    return (rest + first).replace(" ", "") if rest else ""
+def core(words: str = "words") -> Column:
+    """The own words run together."""
+    return F.translate(words, " ", "")
+
+
+def swapped(words: str = "words") -> Column:
+    """The own words with the first moved to the end, run together; '' for a single word."""
+    first = F.substring_index(words, " ", 1)
+    rest = F.substring(F.col(words), F.length(first) + 1, F.length(words))
+    return F.when(F.contains(F.col(words), F.lit(" ")), F.translate(F.concat(rest, first), " ", "")).otherwise("")
 
 
 def read_records(df: DataFrame, names: bool, addresses: bool, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,7 +43,7 @@ def read_records(df: DataFrame, names: bool, addresses: bool, keep: tuple[str, .
             out = [batch["id"], batch["country"], *(batch[k] for k in keep)]
             if names:
                 got = [read_name(x) for x in batch["business_name"].to_pylist()]
-                out += [pa.array(x, pa.string()) for x in ([n.core for n in got], [swapped(n.words) for n in got], [n.trade for n in got], [n.given for n in got], [n.parent for n in got])]
+                out += [pa.array([getattr(n, p) for n in got], pa.string()) for p in NAME_PARTS]
             if addresses:
                 read_ = [read_address(x, c) for x, c in zip(batch["business_address"].to_pylist(), batch["country"].to_pylist(), strict=True)]
                 out += [pa.array([getattr(x, p) for x in read_], pa.string()) for p in ADDRESS_PARTS]

@@ -253,6 +253,41 @@ def test_link_entities(rows):
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def planted(rnd, n):
+    """S1 rows, records, and the true pairs: copies with typed names, and other businesses at the places of some."""
+    syllables = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "an", "or", "il")]
+    word = lambda k: "".join(rnd.choice(syllables) for _ in range(k)).title()
+    typo = lambda w: (lambda i: rnd.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "x" + w[i:]]))(rnd.randrange(1, len(w) - 2))
+    left, right, want = [], [], set()
+    for i in range(n):
+        a, b, trade = word(3), word(3), rnd.choice(["Bakery", "Motors", "Foods"])
+        place = f"{rnd.randint(1, 9999)} {word(4)} St, Dallas, TX 75001"
+        left.append((f"S1{i:04}", f"{a} {b} {trade} LLC", place, "US", "", "", 0))
+        for k in range(2):
+            name = rnd.choice([f"{typo(a)} {b} {trade}", f"{a} {typo(b)} {trade} Inc", f"{b} {a} {trade}", f"{a}{typo(b)} {trade}", f"{typo(a)} {typo(b)}"])
+            right.append((f"S2{i:04}{k}", name, place, "US", "", "", 0))
+            want.add((f"S1{i:04}", f"S2{i:04}{k}"))
+        if i % 3 == 0:
+            right.append((f"S3{i:04}", f"{word(3)} {word(3)} {trade}", place, "US", "", "", 0))
+        elif i % 10 == 1:  # hard to tell: a part of the name, or half of another
+            right.append((f"S3{i:04}", rnd.choice([f"{typo(a)} {trade}", f"{typo(a)} {word(3)} {trade}", f"{typo(typo(typo(a)))} {typo(typo(b))}"]), place, "US", "", "", 0))
+    return left, right, want
+
+
+def test_the_model_decides_between_businesses_at_one_place(rows):
+    left, right, want = planted(random.Random(7), 150)
+    got = link_entities(rows(left, DDL), rows(right, DDL), least=0.0).collect()
+    told = {(r["s1"], r["o"]): r["confidence"] for r in got}
+    sure = {p for p, c in told.items() if c >= 0.5}
+    score = lambda found: (len(found & want) / len(want), len(found & want) / len(found))
+    assert min(score(sure)) >= 0.9
+    # without the model every record at a place would be a match
+    assert len(told) > len(sure) and score(set(told))[1] < 0.9
+    assert sure == set(pairs(link_entities(rows(left, DDL), rows(right, DDL))))
+    # confidences are of use: they are not all alike, and their mean is near the share of true pairs
+    assert len({round(c, 3) for c in told.values()}) > 3 and abs(sum(told.values()) / len(told) - score(set(told))[1]) < 0.05
+
+
 def test_spellings_of_one_organisation_compete_together(rows):
     names = ["Venforro Menlimi Realty", "Venfrro Menlimi Realty", "Venfrro Mnlimi Realty", "Venforro Menlimi Bakery", "Vonforru Menlimu Realty"]
     left = rows([(f"S1{i}", x, f"{i + 10} Elm St, Dallas, TX 75001", "US", x, "", 0) for i, x in enumerate(names)], DDL)
