@@ -146,19 +146,22 @@ def _vote(left: Column, right: Column, weak: Column) -> Column:
     return F.when((left == "") | (right == ""), ABSENT).when(left == right, FOR).when(weak, WEAK).otherwise(AGAINST)
 
 
-def cast_votes(pairs: DataFrame) -> DataFrame:
-    """Adds a column ``v_<function>`` for each matching function, and ``edits``, the edits between the names in their better order."""
+def _packed(votes: dict[str, Column]) -> Column:
+    """The votes of some functions as one number, two bits each at their place in ``FUNCTIONS``."""
+    return sum((F.shiftleft(v.cast("int"), 2 * FUNCTIONS.index(f)) for f, v in votes.items()), F.lit(0))
+
+
+def name_votes(pairs: DataFrame) -> DataFrame:
+    """Adds ``v_name``, the packed votes on the names, and ``edits``, the edits between them in their better order."""
     a, b, t = core("l_words"), core("r_words"), swapped("r_words")
     edits = F.least(F.levenshtein(a, b), F.when(t != "", F.levenshtein(a, t)).otherwise(F.lit(10_000)))
     pairs = pairs.withColumns({"edits": edits, "size": F.greatest(F.length(a), F.length(b))})
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    jumbled = F.levenshtein(sorted_(a), sorted_(b))
+    # (the letters are looked at only where the names differ)
+    jumbled = F.when(F.col("edits") == 0, 0).otherwise(F.levenshtein(sorted_(a), sorted_(b)))
     # the beginnings and the ends of the names, in the order in which they are nearer
-    turned = F.levenshtein(a, b) > F.col("edits")
-    other = F.when(turned, t).otherwise(b)
+    other = F.when(F.levenshtein(a, b) > F.col("edits"), t).otherwise(b)
     near = lambda x, y: F.when(x == y, FOR).when(F.levenshtein(x, y, 2) >= 0, WEAK).otherwise(AGAINST)
-    close = lambda c, k: (F.levenshtein(f"l_{c}", f"r_{c}", k) >= 0) & (F.least(F.length(f"l_{c}"), F.length(f"r_{c}")) >= 4)
-    of = lambda c: (F.col(f"l_{c}"), F.col(f"r_{c}"))
     votes = {
         "name": F.when(F.col("edits") == 0, FOR).when(F.col("edits") <= 2, WEAK).otherwise(AGAINST),
         "share": F.when(F.col("edits") <= F.col("size") * 0.15, FOR).when(F.col("edits") <= F.col("size") * 0.4, WEAK).otherwise(AGAINST),
@@ -166,42 +169,59 @@ def cast_votes(pairs: DataFrame) -> DataFrame:
         "letters": F.when(jumbled <= 1, FOR).when(jumbled <= F.col("size") * 0.3, WEAK).otherwise(AGAINST),
         "first": near(F.substring(a, 1, 6), F.substring(other, 1, 6)),
         "last": near(F.substring(a, -6, 6), F.substring(other, -6, 6)),
-        "given": _vote(*of("given"), organisations.given_agree("l_given", "r_given")),
-        "trade": _vote(*of("trade"), F.lit(False)),
+        "given": _vote(F.col("l_given"), F.col("r_given"), organisations.given_agree("l_given", "r_given")),
+        "trade": _vote(F.col("l_trade"), F.col("r_trade"), F.lit(False)),
+    }
+    return pairs.withColumn("v_name", _packed(votes)).drop("size")
+
+
+def address_votes(left: str, right: str) -> Column:
+    """The packed votes on addresses whose parts have these prefixes."""
+    of = lambda c: (F.col(left + c), F.col(right + c))
+    close = lambda c, k: (F.levenshtein(*of(c), k) >= 0) & (F.least(*(F.length(x) for x in of(c))) >= 4)
+    return _packed({
         "street": _vote(*of("street"), close("street", 4)),
         "postcode": _vote(*of("postcode"), F.lit(False)),
         "town": _vote(*of("town"), close("town", 3)),
         "state": _vote(*of("state"), F.lit(False)),
-    }
-    return pairs.withColumns({f"v_{k}": v.cast("int") for k, v in votes.items()}).drop("size")
+    })
 
 
-PARTS = ("words", "trade", "given", "street", "postcode", "town", "state")
+NAMED = ("words", "trade", "given")
+LOCATED = ("street", "postcode", "town", "state")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(s1, o, l_..., r_...) candidate pairs of read records with ``ncls``, ``acls`` and ``placed``, as the module's text lists them."""
+    """(s1, o, v_address, l_..., r_...) candidate pairs of read records with ``ncls``, ``acls`` and ``placed``, as the module's text
+    lists them, with the packed votes on their addresses and the parts of their names."""
     placed = lambda df: df.filter("placed").select(F.col("acls").alias("cls"), *premises.CLASS)
-    places = premises.match_address_classes(placed(left), placed(right))
-    places = materialize(places.select(F.col("left_cls").alias("acls"), F.col("right_cls").alias("r_acls")), "place-pairs")
+    places = premises.match_address_classes(placed(left), placed(right), address_votes("left_", "right_"))
+    places = materialize(places.select(F.col("left_cls").alias("acls"), F.col("right_cls").alias("r_acls"), F.col("seen").alias("v_address")), "place-pairs")
     names = materialize(
         organisations.match_name_classes(
             *(x.select(F.col("ncls").alias("cls"), *organisations.CLASS) for x in (left, right)), asked=tuple(x.filter("not placed").select(F.col("ncls").alias("cls")).distinct() for x in (left, right))
         ).select(F.col("left_cls").alias("ncls"), F.col("right_cls").alias("r_ncls")),
         "name-pairs",
     )
-    ours = left.select("s1", "ncls", "acls", "placed", "parent", *[F.col(p).alias(f"l_{p}") for p in PARTS])
-    theirs = right.select("o", F.col("ncls").alias("r_ncls"), F.col("acls").alias("r_acls"), F.col("placed").alias("r_placed"), F.col("parent").alias("r_parent"), *[F.col(p).alias(f"r_{p}") for p in PARTS])
-    # those at one premises meet by trade, or where one states none: a premises with many trades is no single block
-    here = ours.filter("placed").withColumn("k", F.explode(F.when(F.col("l_trade") == "", F.array(F.lit("none"), F.lit("all"))).otherwise(F.array(F.concat(F.lit("="), "l_trade"), F.lit("all")))))
-    there = theirs.filter("r_placed").join(places, "r_acls").withColumn("k", F.explode(F.when(F.col("r_trade") == "", F.array(F.lit("all"))).otherwise(F.array(F.concat(F.lit("="), "r_trade"), F.lit("none")))))
-    drop = ["acls", "r_acls", "ncls", "r_ncls", "placed", "r_placed", "parent", "r_parent", "k"]
-    together = here.join(there, ["acls", "k"]).filter("parent = r_parent").drop(*drop)
+
+    def side(df: DataFrame, mark: str, *cols: str) -> DataFrame:
+        return df.select(*cols, *[F.col(p).alias(f"{mark}_{p}") for p in (*NAMED, "parent")])
+
+    here = side(left.filter("placed"), "l", "s1", "acls")
+    there = side(right.filter("placed").withColumnRenamed("acls", "r_acls"), "r", "o", "r_acls").join(places, "r_acls")
+    # those at one premises meet by trade, so that a premises with many trades is no single block; few state none
+    stated = here.filter("l_trade <> ''").withColumn("trade", F.col("l_trade")).join(there.filter("r_trade <> ''").withColumn("trade", F.col("r_trade")), ["acls", "trade"])
+    together = [stated, here.filter("l_trade = ''").join(there, "acls"), here.filter("l_trade <> ''").join(there.filter("r_trade = ''"), "acls")]
+    out = ["s1", "o", "v_address", *[f"{m}_{p}" for m in "lr" for p in NAMED]]
     # an organisation with a single S1 row decides alone where an address is missing
-    rows = ours.select("ncls", "s1").distinct().groupBy("ncls").agg(F.count("*").alias("n"))
+    rows = left.select("ncls", "s1").distinct().groupBy("ncls").agg(F.count("*").alias("n"))
     single = names.join(rows, "ncls").groupBy("r_ncls").agg(F.sum("n").alias("n"), F.min("ncls").alias("ncls")).filter("n = 1").drop("n")
-    alone = ours.join(single, "ncls").join(theirs, "r_ncls").filter("not (placed and r_placed)").drop(*drop)
-    return together.unionByName(alone)
+    ours = left.select("s1", "ncls", "placed", *[F.col(p).alias(f"l_{p}") for p in (*NAMED, *LOCATED)]).join(single, "ncls")
+    theirs = right.select("o", F.col("ncls").alias("r_ncls"), F.col("placed").alias("r_placed"), *[F.col(p).alias(f"r_{p}") for p in (*NAMED, *LOCATED)])
+    pairs = ours.join(theirs, "r_ncls").filter("not (placed and r_placed)").withColumn("v_address", address_votes("l_", "r_")).select(*out)
+    for x in together:
+        pairs = pairs.unionByName(x.filter("l_parent = r_parent").select(*out))
+    return pairs
 
 
 def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataFrame:
@@ -215,9 +235,8 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
 
     with scratch(spark):
         left, right = records(s1, "s1"), records(others, "o")
-        # a pattern of votes as one number, two bits a function
-        pattern = sum((F.shiftleft(F.col(f"v_{f}"), 2 * i) for i, f in enumerate(FUNCTIONS)), F.lit(0)).alias("pattern")
-        voted = materialize(cast_votes(candidates(left, right)).select("s1", "o", "edits", pattern), "votes")
+        voted = name_votes(candidates(left, right)).select("s1", "o", "edits", F.col("v_name").bitwiseOR(F.col("v_address")).alias("pattern"))
+        voted = materialize(voted, "votes")
         counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 4 ** 11 in theory, some thousands in practice
         known = pa.table({"pattern": pa.array([], pa.int32()), "confidence": pa.array([], pa.float64())})
         if len(counts):
