@@ -34,7 +34,10 @@ ADDRESS = {
     "cite": "cite", "residence": "res", "res": "res", "faubourg": "fbg", "fbg": "fbg", "sainte": "ste",
 }
 # Address tokens that are dropped.
-ADDRESS_DROP = """no number num h hno house door unit near nr behind c o null none na the of and de du des la le les d l bis ter po box city""".split()
+ADDRESS_DROP = [
+    "no", "number", "num", "h", "hno", "house", "door", "unit", "near", "nr", "behind", "c", "o", "null", "none", "na", "the", "of", "and", "de",
+    "du", "des", "la", "le", "les", "d", "l", "bis", "ter", "po", "box", "city",
+]
 # Units and mailboxes, before their value.
 UNITS = ["pmb", "p\\s*o\\s*box", "po\\s*box", "box", "unit", "ste", "suite", "apt", "apartment", "desk", "fl", "floor", "room", "rm"]
 # States and their codes.

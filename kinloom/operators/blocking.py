@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.text import words
 from kinloom.params import BlockingParams
-from kinloom.session import materialize
+from kinloom.session import materialize, scratch
 
 
 def _prefixed(letter: str, values: Column) -> Column:
@@ -123,9 +123,11 @@ def select_candidates(scores: DataFrame, p: BlockingParams = BlockingParams()) -
 
 def candidates(records: DataFrame, p: BlockingParams = BlockingParams()) -> DataFrame:
     """All steps; keys and composite keys are read several times, so each is written once."""
-    keys = materialize(block_keys(records), "keys")
-    composites = materialize(composite_keys(rare_keys(keys, key_stats(keys), p), p), "composites")
-    return select_candidates(pair_scores(composites, composite_weights(composites, p)), p)
+    with scratch(records.sparkSession):
+        keys = materialize(block_keys(records), "keys")
+        composites = materialize(composite_keys(rare_keys(keys, key_stats(keys), p), p), "composites")
+        scores = materialize(pair_scores(composites, composite_weights(composites, p)), "pair-scores", keep=True)
+    return select_candidates(scores, p)
 
 
 def blocking_recall(truth: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:

@@ -55,3 +55,14 @@ def sweep(scores: DataFrame, true: DataFrame, ids: DataFrame, d: DecisionParams
     rows = scores.sparkSession.createDataFrame([(x,) for x in d.grid], "threshold double")
     full = rows.join(gains, "threshold", "left").crossJoin(F.broadcast(base))
     return full.select("threshold", F.round((F.col("base") + F.coalesce("gain", F.lit(0.0))) / F.col("n"), 6).alias("macro_f05"))
+
+
+def best_threshold(swept: DataFrame) -> DataFrame:
+    """The row of the greatest value, of equal ones the one with the least threshold."""
+    return swept.orderBy(F.desc("macro_f05"), "threshold").limit(1)
+
+
+def labelled(pairs: DataFrame, true: DataFrame) -> DataFrame:
+    """Adds ``label``, 1 for true pairs, 0 for all others."""
+    hit = true.select("s1", "o").distinct().withColumn("label", F.lit(1).cast("bigint"))
+    return pairs.join(hit, ["s1", "o"], "left").withColumn("label", F.coalesce("label", F.lit(0).cast("bigint")))

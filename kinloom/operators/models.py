@@ -52,6 +52,18 @@ def out_of_fold(df: DataFrame, features: list[str], seed: int = 11, b: BoostPara
     return parts[0].unionByName(parts[1])
 
 
+def stage_two(scored: DataFrame, group_features: DataFrame, diff_features: DataFrame, b: BoostParams = BoostParams(seed=17)) -> DataFrame:
+    """M3: (s1, o, label, p): pairs scored anew, out of fold, by their first score, their group and what differs."""
+    x = scored.join(group_features.drop("p"), ["s1", "o"]).join(diff_features, ["s1", "o"], "left").withColumnRenamed("p", "p1")
+    names = [c for c in x.columns if c not in ("s1", "o", "label")]
+    return out_of_fold(x, names, b=b).select("s1", "o", "label", "p")
+
+
+def blend(features: DataFrame, names: tuple[str, ...], seed: int = 77, b: BoostParams = BoostParams(seed=1)) -> DataFrame:
+    """M4: (s1, o, label, p) from the blend's features of two scorers, out of fold."""
+    return out_of_fold(features.select("s1", "o", "label", *names), list(names), seed, b).select("s1", "o", "label", "p")
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     """Features by gain, the flags with their feature."""
     gains = model.stages[-1].featureImportances.toArray()

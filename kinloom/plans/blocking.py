@@ -73,58 +73,45 @@ QUERIES = {f.__name__: f for f in (block_keys, key_stats, rare_keys, composite_k
 # the same over the normalisers, which SQL does not state
 QUERIES |= {f"normed_{name}": normed(f) for name, f in QUERIES.items()}
 
-_K = (
-    REC
-    + """,
-wd as (select id, side, country, unnest(string_split(n_core, ' ')) as w from rec),
-cp as (select id, side, country, replace(n_core, ' ', '') as c from rec),
-aw as (select id, side, country, unnest(string_split(a_norm, ' ')) as w from rec),
-k as (select distinct id, side, country, key from (
-  select id, side, country, 'W:' || w as key from wd where length(w) >= 2
-  union all select id, side, country, 'P:' || substr(w, 1, 5) from wd where length(w) >= 7
-  union all select id, side, country, 'C:' || c from cp where length(c) >= 5
-  union all select id, side, country, 'G:' || substr(c, i, 4) from (select id, side, country, c, unnest(generate_series(1, length(c) - 3)) as i from cp where length(c) >= 6)
-  union all select id, side, country, 'A:' || w from aw where w <> '' and not regexp_full_match(w, '[0-9]+') and (length(w) >= 3 or regexp_matches(w, '[0-9]'))
-  union all select id, side, country, 'N:' || w from aw where regexp_full_match(w, '[0-9]+') and length(w) >= 2)),
-st as (select country, key, count(*) filter (where side = 1) as df1, count(*) filter (where side = 0) as dfo from k group by country, key
-  having count(*) filter (where side = 1) > 0 and count(*) filter (where side = 0) > 0)"""
-)
-_R = (
-    _K
-    + """,
-ty as (select k.*, df1, dfo, case when left(k.key, 1) in ('W', 'P', 'C') then 'n' when left(k.key, 1) = 'G' then 'g' else 'a' end as typ from k join st on k.country = st.country and k.key = st.key),
-rk as (select * from (select *, row_number() over (partition by side, id, typ order by df1, dfo, key) as rn from ty)
-  where rn <= case typ when 'n' then case side when 1 then 3 else 2 end when 'g' then case side when 1 then 6 else 3 end else case side when 1 then 7 else 4 end end)"""
-)
-_C = (
-    _R
-    + """,
-ck as (select distinct id, side, country, ck from (
-  select a.id, a.side, a.country, a.key || '|' || b.key as ck from rk a join rk b on a.id = b.id and a.side = b.side and a.key < b.key
-    and (a.typ = 'g') = (b.typ = 'g')
-    and (not (a.typ = 'a' and b.typ = 'a') or (a.rn <= case a.side when 1 then 5 else 4 end and b.rn <= case a.side when 1 then 5 else 4 end))
-  union all select id, side, country, key from rk where df1 <= 3))"""
-)
-_W = (
-    _C
-    + """,
-cw as (select *, ln(1 + 1e6 / dfo) as w from (select country, ck, count(*) filter (where side = 1) as df1, count(*) filter (where side = 0) as dfo from ck group by country, ck)
-  where df1 between 1 and 30 and dfo between 1 and 150)"""
-)
-_P = (
-    _W
-    + """,
-pr as (select a.id as s1, b.id as o, round(sum(cw.w), 6) as bscore, count(*) as nk from cw join ck a on a.country = cw.country and a.ck = cw.ck and a.side = 1
-  join ck b on b.country = cw.country and b.ck = cw.ck and b.side = 0 group by a.id, b.id)"""
-)
-_S = (
-    _P
-    + """,
-pw as (select *, max(bscore) over (partition by o) as mo, count(*) over (partition by o) as n_o, row_number() over (partition by o order by bscore desc, s1) as ko,
-  max(bscore) over (partition by s1) as m1, count(*) over (partition by s1) as n_1, row_number() over (partition by s1 order by bscore desc, o) as k1 from pr),
+# The SQL works on lists: a record's keys are one list, its rarest keys are slices of sorted lists, its composite keys a list of pairs of
+# them, and a composite's pairs of records the product of its two lists of ids.
+_WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+_NUMBER = "regexp_full_match(w, '[0-9]+')"
+_K = f"""{REC},
+tokens as (select id, side, country, {_WORDS.format("n_core")} as nw, {_WORDS.format("a_norm")} as aw, replace(n_core, ' ', '') as run from rec),
+lists as (select id, side, country, list_distinct(flatten([
+  list_transform(list_filter(nw, lambda w: length(w) >= 2), lambda w: 'W:' || w),
+  list_transform(list_filter(nw, lambda w: length(w) >= 7), lambda w: 'P:' || w[1:5]),
+  list_filter(['C:' || run], lambda x: length(run) >= 5),
+  list_transform(list_filter(range(1, length(run) - 2), lambda i: length(run) >= 6), lambda i: 'G:' || substr(run, i, 4)),
+  list_transform(list_filter(aw, lambda w: not {_NUMBER} and (length(w) >= 3 or regexp_matches(w, '[0-9]'))), lambda w: 'A:' || w),
+  list_transform(list_filter(aw, lambda w: {_NUMBER} and length(w) >= 2), lambda w: 'N:' || w)])) as keys from tokens),
+k as (select id, side, country, unnest(keys) as key from lists),
+n_left as (select country, key, count(*) as df1 from k where side = 1 group by all), n_right as (select country, key, count(*) as dfo from k where side = 0 group by all),
+st as (select * from n_left join n_right using (country, key))"""
+_R = f"""{_K},
+kind(letter, typ, left_n, right_n) as (values ('W', 'n', 3, 2), ('P', 'n', 3, 2), ('C', 'n', 3, 2), ('G', 'g', 6, 3), ('A', 'a', 7, 4), ('N', 'a', 7, 4)),
+by_rarity as (select side, id, country, typ, list_sort(list({{'df1': df1, 'dfo': dfo, 'key': key}})) as l, any_value(case side when 1 then left_n else right_n end) as most
+  from k join st using (country, key) join kind on kind.letter = key[1] group by side, id, country, typ),
+rk as (select id, side, country, typ, l[rn].key as key, l[rn].df1 as df1, rn from (select *, unnest(range(1, least(most, length(l)) + 1)) as rn from by_rarity))"""
+_C = f"""{_R},
+held as (select id, side, country, case side when 1 then 5 else 4 end as both_a, list({{'key': key, 'typ': typ, 'rn': rn, 'df1': df1}}) as ks from rk group by all),
+ck as (select id, side, country, unnest(list_distinct(list_concat(
+  flatten(list_transform(ks, lambda x: list_transform(list_filter(ks, lambda y: x.key < y.key and (x.typ = 'g') = (y.typ = 'g') and (x.typ <> 'a' or y.typ <> 'a' or greatest(x.rn, y.rn) <= both_a)),
+    lambda y: x.key || '|' || y.key))),
+  list_transform(list_filter(ks, lambda x: x.df1 <= 3), lambda x: x.key)))) as ck from held)"""
+_W = f"""{_C},
+shared as (select country, ck, list(id) filter (where side = 1) as left_ids, list(id) filter (where side = 0) as right_ids from ck group by country, ck),
+cw as (select country, ck, length(left_ids) as df1, length(right_ids) as dfo, ln(1 + 1e6 / length(right_ids)) as w, left_ids, right_ids from shared
+  where length(left_ids) between 1 and 30 and length(right_ids) between 1 and 150)"""
+_P = f"""{_W},
+one as (select unnest(left_ids) as s1, right_ids, w from cw), two as (select s1, unnest(right_ids) as o, w from one),
+pr as (select s1, o, round(sum(w), 6) as bscore, count(*) as nk from two group by s1, o)"""
+_S = f"""{_P},
+of_o as (select o, max(bscore) as mo, count(*) as n_o from pr group by o), of_1 as (select s1, max(bscore) as m1, count(*) as n_1 from pr group by s1),
+top as (select * from pr qualify row_number() over (partition by o order by bscore desc, s1) <= 4 union select * from pr qualify row_number() over (partition by s1 order by bscore desc, o) <= 18),
 sel as (select s1, o, bscore, nk, row_number() over (partition by o order by bscore desc, s1) as r_o, row_number() over (partition by s1 order by bscore desc, o) as r_1,
-  round(bscore / mo, 6) as rel_o, round(bscore / m1, 6) as rel_1, n_o, n_1 from pw where ko <= 4 or k1 <= 18)"""
-)
+  round(bscore / mo, 6) as rel_o, round(bscore / m1, 6) as rel_1, n_o, n_1 from top join of_o using (o) join of_1 using (s1))"""
 SQL = {
     "block_keys": f"with {_K} select id, country, key from k",
     "key_stats": f"with {_K} select country, key, df1, dfo from st",

@@ -6,13 +6,14 @@ True pairs are those whose records have the same words in name and address.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import kernels as k
 from kinloom.functions.hashing import fold, fold_sql
 from kinloom.functions.text import clean_addr, squeeze, words
-from kinloom.operators import decide, diff, features, group, metrics, models
+from kinloom.operators import decide, diff, features, group, metrics, models, ranks
+from kinloom.operators.blocking import candidates as blocking_candidates
 from kinloom.params import DecisionParams, StageParams, VocabParams
 from kinloom.plans.blocking import pseudo_truth
 from kinloom.plans.records import REC_HUB, normed, records, table
@@ -258,8 +259,8 @@ def diff_vocab_extension(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_topk_edges(spark: SparkSession, d: str) -> DataFrame:
     """S3: the four best S1 of every O and the eighteen best O of every S1, in one table of two ranks."""
-    by_o, by_1 = Window.partitionBy("o").orderBy(F.desc("p"), "s1"), Window.partitionBy("s1").orderBy(F.desc("p"), "o")
-    e = edges(spark, d).withColumns({"r_o": F.row_number().over(by_o).cast("bigint"), "r_1": F.row_number().over(by_1).cast("bigint")})
+    e = ranks.ranked(edges(spark, d), "o", [F.desc("p"), F.asc("s1")], "r_o")
+    e = ranks.ranked(e, "s1", [F.desc("p"), F.asc("o")], "r_1")
     return e.filter("r_o <= 4 or r_1 <= 18").select("s1", "o", "r_o", "r_1")
 
 
@@ -286,13 +287,101 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     return models.out_of_fold(x, names).select("s1", "o", "p")
 
 
+def coverage_features(spark: SparkSession, d: str) -> DataFrame:
+    """All ten."""
+    recs = records(spark, d, hub=True)
+    weights = [features.token_weights(recs, c, features.document_frequencies(recs, c)) for c in ("n_core", "a_norm")]
+    return features.coverages(edges(spark, d), *weights)
+
+
+def sim_token_set(spark: SparkSession, d: str) -> DataFrame:
+    return evenly(_named(spark, d)).select("s1", "o", F.round(k.pairwise(k.token_set_ratio)(F.col("c1"), F.col("co")), 6).alias("nm_tset"))
+
+
+def record_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A2: distinct records of each country and side."""
+    return records(spark, d).groupBy("country", "side").agg(F.count_distinct("id").alias("n_ids"))
+
+
+def pair_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids that occur on either side of a pair."""
+    e = edges(spark, d)
+    return e.select(F.col("s1").alias("id")).unionByName(e.select(F.col("o").alias("id"))).distinct()
+
+
+def pair_index(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs by the row numbers of their ids in the exported index."""
+    index = materialize(ranks.numbered(pair_ids(spark, d), ["id"]), "index")
+    a, b = index.select(F.col("id").alias("s1"), F.col("row").alias("a")), index.select(F.col("id").alias("o"), F.col("row").alias("b"))
+    return edges(spark, d).select("s1", "o").join(a, "s1").join(b, "o").select("s1", "o", "a", "b")
+
+
+def first_by_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Five hundred S1 records in an order drawn by a portable hash; the number is what is asked for."""
+    return _ids(spark, d).orderBy(F.md5(F.concat("s1", F.lit("|29"))), "s1").limit(500)
+
+
+def attached(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the names of their records, '' where there is no such record (those of the hub are left out here)."""
+    return features.attach(edges(spark, d).select("s1", "o"), records(spark, d), {"n_core": "c"}, "left")
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """J8."""
+    return metrics.labelled(edges(spark, d).select("s1", "o"), _truth(spark, d))
+
+
+def best_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """S4."""
+    return metrics.best_threshold(threshold_sweep(spark, d))
+
+
+def path_scan(spark: SparkSession, d: str) -> DataFrame:
+    """IO5: a table named by its path inside SQL."""
+    return spark.sql(f"select country, count(*) as n from parquet.`{d}/s1.parquet` group by country")
+
+
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """X1 to X14 of the candidates that blocking finds."""
+    recs = materialize(records(spark, d), "records")
+    return features.feature_table(blocking_candidates(recs), recs)
+
+
+def linkage(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path: normalised records, blocking, stage 1 on all features, stage 2 on group and difference features, a blend of both
+    scores; the best threshold of each by macro F0.5 against the pairs of equal words: (stage, threshold, macro_f05).
+
+    All scores are out of fold. The blend's second scorer is the first stage, as the external one is an interface only.
+    """
+    recs = materialize(records(spark, d), "records")
+    true, ids = pseudo_truth(recs), _ids(spark, d)
+    table_ = metrics.labelled(features.feature_table(blocking_candidates(recs), recs), true)
+    table_ = materialize(table_, "features")
+    names = [c for c in table_.columns if c not in ("s1", "o", "label")]
+    first = materialize(models.out_of_fold(table_, names).select("s1", "o", "label", "p"), "stage-1")
+    kept = group.plausible(first)
+    sides = features.attach(kept, recs, {"n_core": "c", "a_norm": "d", "a_nums": "m"})
+    x = diff.extra_by_kind(evenly(sides)).withColumn("fold", fold(F.col("s1"), StageParams.fold_seed, 2))
+    x = materialize(x, "extra")
+    differs = diff.pair_features(x, diff.crossfit_scores(x, diff.KINDS))
+    others = recs.filter("side = 0")
+    around = group.competition(kept.select("s1", "o", "p")).join(group.siblings(kept, others.select(F.col("id").alias("o"), "n_core", "a_norm")), ["s1", "o"])
+    around = around.join(group.twins(recs).withColumnRenamed("id", "o"), "o").withColumn("logit_p", group.logit(F.col("p")))
+    second = materialize(models.stage_two(kept, around, differs), "stage-2")
+    scored = second.join(first.select("s1", "o", group.logit(F.col("p")).alias("ce")), ["s1", "o"])
+    blended = models.blend(metrics.labelled(group.blend_features(scored), true), group.BLEND, StageParams.blend_seed)
+    best = [metrics.best_threshold(metrics.sweep(s, true, ids)).withColumn("stage", F.lit(n)) for n, s in (("1", first), ("2", second), ("blend", blended))]
+    return best[0].unionByName(best[1]).unionByName(best[2])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         competition, logit_p, twins, siblings, blend_features, one_owner, expected_f_decision, id_lists, candidate_lists, macro_f05, threshold_sweep,
         holdout_split, pair_texts, token_overlap, number_features, pair_flags, idf_tokens, fuzzy_coverage, sim_ratio, sim_token_sort, sim_jaro_winkler,
         sim_levenshtein, similarities, number_relation, extra_words, edit_codes, noise_vocab, noise_vocab_crossfit, word_features, soft_calibration,
-        calibration_correlation, vocab_extension, rank_topk_edges, semi_anti_ids, hash_sample, gbt_scores,
+        calibration_correlation, vocab_extension, rank_topk_edges, semi_anti_ids, hash_sample, gbt_scores, coverage_features, sim_token_set, record_counts, pair_ids, pair_index,
+        first_by_hash, attached, labels, best_threshold, path_scan,
     )
 }
 # those that read names or addresses, over the normalisers, which SQL does not state
@@ -304,7 +393,7 @@ QUERIES |= {
     )
 }
 # V4 to V8 as the survey lists them; noise_vocab and those after it are the part that SQL states in good time
-QUERIES |= {f.__name__: normed(f) for f in (diff_vocab, diff_vocab_crossfit, diff_features, diff_calibration, diff_correlation, diff_vocab_extension)}
+QUERIES |= {f.__name__: normed(f) for f in (feature_table, linkage, diff_vocab, diff_vocab_crossfit, diff_features, diff_calibration, diff_correlation, diff_vocab_extension)}
 
 _E = "ed as (select s1, o, round(greatest(0, s / (abs(s) + 20)), 6) as p from (select s1, o, max(bscore) as s from cand where bscore is not null and not isnan(bscore) and s1 is not null and o is not null group by s1, o))"
 _N = f"""{_E},
@@ -337,6 +426,22 @@ def _ratio(a: str, b: str) -> str:
     return f"(case when length({a}) + length({b}) = 0 then 100.0 else 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) end)"
 
 
+def _set_ratio(a: str, b: str) -> str:
+    """The token set ratio of two lists of distinct tokens: 100 if one holds the other, else the best of the ratios of the common part
+    with each rest added, and of the common part with either."""
+    text = lambda x: f"array_to_string(list_sort({x}), ' ')"
+    both = text(f"list_filter({a}, lambda w: list_contains({b}, w))")
+    ra, rb = text(f"list_filter({a}, lambda w: not list_contains({b}, w))"), text(f"list_filter({b}, lambda w: not list_contains({a}, w))")
+    head = f"(case when {both} = '' then 0 else length({both}) + 1 end)"
+    la, lb = f"(length({ra}) + {head})", f"(length({rb}) + {head})"
+    return f"""round(case when length({a}) = 0 or length({b}) = 0 then 0.0 when {both} <> '' and ({ra} = '' or {rb} = '') then 100.0
+      else greatest(200.0 * ({head} + {_lcs(ra, rb)}) / ({la} + {lb}), case when {both} = '' then 0.0 else greatest(200.0 * length({both}) / (length({both}) + {la}), 200.0 * length({both}) / (length({both}) + {lb})) end) end, 6)"""
+
+
+def _mean6(x: str) -> str:
+    return f"floor((2 * sum(cast(round({x} * 1000000) as bigint)) + count({x})) / (2 * count({x}))) / 1000000"
+
+
 def _overlap(stem: str, a: str, b: str) -> str:
     x, y = _set(a), _set(b)
     both = f"length(list_intersect({x}, {y}))"
@@ -360,20 +465,42 @@ bi as (select cast(least(floor(soft * {_V.bins}), {_V.bins - 1}) as bigint) as b
 cu as (select bin, n, x, max(m) over (order by bin rows between unbounded preceding and current row) as y from bi)"""
 _F1, _FO = "string_split(m1, ' ')[1]", "string_split(mo, ' ')[1]"
 SQL = {
-    "competition": f"""with {_E}, a as (select *, row_number() over (partition by o order by p desc, s1) as o_rank from ed),
+    "competition": f"""with {_E}, a as (select *, row_number() over (partition by o order by p desc, s1) as o_rank from ed where p >= 0.01),
 b as (select *, max(p) over (partition by o) as o_best, count(*) filter (where p >= 0.2) over (partition by o) as o_n_plaus,
   coalesce(max(case when o_rank = 2 then p end) over (partition by o), 0) as o_second, count(*) filter (where p >= 0.5) over (partition by s1) as s1_n_conf,
   round(sum(p) over (partition by s1), 6) as s1_sum_p, max(p) over (partition by s1) as s1_max_p from a),
 c as (select *, case when o_rank = 1 then o_second else o_best end as o_best_other from b) select *, round(p - o_best_other, 6) as o_margin from c""",
     "logit_p": f"with {_E} select s1, o, round(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))), 6) as logit_p from ed",
     "twins": f"""with {REC_HUB.replace(" union all select entity_id, business_name, business_address, country from o_hub", "")}
-select id, count(*) over (partition by side, country, n_core) - 1 as twin_name, count(*) over (partition by side, country, n_core, string_split(a_nums, ' ')[1]) - 1 as twin_key from rec""",
+select id, count(*) over (partition by n_core) - 1 as twin_name, count(*) over (partition by n_core, string_split(a_nums, ' ')[1]) - 1 as twin_key from rec where side = 0""",
     "blend_features": f"""with {_E}, s as (select *, round(p * 10 - 5, 6) as ce from ed),
-t as (select *, row_number() over (partition by o order by ce desc, s1) as k from s),
-u as (select *, max(ce) over (partition by o) as mo, count(*) over (partition by o) as n_o, coalesce(max(case when k = 2 then ce end) over (partition by o), -20) as ce_second_o,
-  round(avg(ce) over (partition by o), 6) as ce_mean_o, max(ce) over (partition by s1) as m1, count(*) over (partition by s1) as n_1, max(p) over (partition by o) as pm from t)
-select s1, o, p, ce, round(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))), 6) as logit_p, n_o, n_1, ce_second_o, ce_mean_o,
-  round(ce - mo, 6) as gap_o, round(ce - m1, 6) as gap_1, round(p - pm, 6) as p_gap_o from u""",
+o as (select o, max(ce) as ce_o_max, count(*) as ce_o_n, max(p) as pm, list_sort(list(ce), 'desc') as all_ce from s group by o),
+t as (select s1, max(ce) as ce_s1_max, {_mean6('ce')} as ce_s1_mean from s group by s1)
+select s1, o, p, ce, round(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))), 6) as lp, ce_o_max, ce_o_n, round(ce - ce_o_max, 6) as ce_gap_o,
+  round(p - pm, 6) as p_gap_o, coalesce(all_ce[2], -20) as ce_o_second, ce_s1_max, ce_s1_mean, round(ce - ce_s1_max, 6) as ce_gap_s1 from s join o using (o) join t using (s1)""",
+    "siblings": f"""with {_E}, {REC_HUB}, kp as (select * from ed where p >= 0.01),
+x as (select a.s1, a.o, b.o as o2, b.p as p2 from kp a join kp b on a.s1 = b.s1 and b.p >= 0.3 and a.o <> b.o),
+w as (select x.*, array_to_string(list_sort({_tok("r.n_core")}), ' ') as na, array_to_string(list_sort({_tok("q.n_core")}), ' ') as nb, {_set("r.a_norm")} as aa, {_set("q.a_norm")} as ab
+  from x join rec r on r.side = 0 and r.id = x.o join rec q on q.side = 0 and q.id = x.o2),
+nr as (select na, nb, round({_ratio("na", "nb")}, 6) as nm from (select distinct na, nb from w)),
+ar as (select aa, ab, {_set_ratio("aa", "ab")} as ad from (select distinct aa, ab from w)),
+y as (select w.*, nm, ad, least(nm, ad) as sb from w join nr using (na, nb) join ar using (aa, ab)),
+g as (select s1, o, count(*) as n, max(nm) as a1, max(ad) as a2, max(sb) as a3, {_mean6('nm')} as a4, count(*) filter (where nm >= 90 and ad >= 80) as c,
+  max(case when nm >= 90 and ad >= 80 then p2 else 0 end) as cp, round(sum(sb * p2) / sum(p2), 6) as ws from y group by s1, o)
+select kp.s1, kp.o, coalesce(n, 0) as sib_n, a1 as sib_nm_max, a2 as sib_ad_max, a3 as sib_both_max, a4 as sib_nm_mean, coalesce(c, 0) as sib_close, cp as sib_close_p, ws as sib_wsim
+from kp left join g on g.s1 = kp.s1 and g.o = kp.o""",
+    "sim_token_set": f"""with {_N}, x as (select s1, o, {_set("c1")} as a, {_set("co")} as b from nm),
+y as (select a, b, {_set_ratio("a", "b")} as r from (select distinct a, b from x)) select s1, o, r as nm_tset from x join y using (a, b)""",
+    "record_counts": f"""with {REC_HUB.replace(" union all select entity_id, business_name, business_address, country from o_hub", "")}
+select country, side, count(distinct id) as n_ids from rec group by country, side""",
+    "pair_ids": f"with {_E} select s1 as id from ed union select o from ed",
+    "pair_index": f"""with {_E}, ix as (select id, row_number() over (order by id) - 1 as row from (select s1 as id from ed union select o from ed))
+select ed.s1, ed.o, x.row as a, y.row as b from ed join ix x on x.id = ed.s1 join ix y on y.id = ed.o""",
+    "first_by_hash": "select entity_id as s1 from s1 order by md5(entity_id || '|29'), entity_id limit 500",
+    "attached": f"""with {_E}, {REC_HUB.replace(" union all select entity_id, business_name, business_address, country from o_hub", "")}
+select ed.s1, ed.o, coalesce(a.n_core, '') as c1, coalesce(b.n_core, '') as co from ed left join rec a on a.side = 1 and a.id = ed.s1 left join rec b on b.side = 0 and b.id = ed.o""",
+    "labels": f"""with {_E}, {REC_HUB}, {_TR} select s1, o, cast(case when exists (select 1 from tr where tr.s1 = ed.s1 and tr.o = ed.o) then 1 else 0 end as bigint) as label from ed""",
+    "path_scan": "select country, count(*) as n from s1 group by country",
     "one_owner": f"with {_E}, {_OWN} select s1, o, p from ow where p >= 0.5",
     "expected_f_decision": f"""with {_E}, {_OWN}, kp as (select * from ow where p >= 0.2),
 r as (select *, row_number() over w as k, sum(p) over (w rows between unbounded preceding and current row) as top, sum(p) over (partition by s1) as total,
@@ -394,6 +521,7 @@ pr as (select g.threshold, h.s1, count(*) as np, sum(t) as tp from g join h on h
 a as (select g.threshold, i.entity_id, coalesce(nt.nt, 0) as nt, coalesce(pr.np, 0) as np, coalesce(pr.tp, 0) as tp from g cross join s1 i
   left join nt on nt.s1 = i.entity_id left join pr on pr.s1 = i.entity_id and pr.threshold = g.threshold)
 select cast(threshold as double) as threshold, round(avg(case when nt = 0 and np = 0 then 1 when tp = 0 then 0 else 1.25 * tp / (0.25 * nt + np) end), 6) as macro_f05 from a group by 1""",
+    "best_threshold": "",
     "holdout_split": f"""with {_E}, h as (select s1, o, {fold_sql("s1", StageParams.holdout_seed, 100)} < {StageParams.holdout_percent} as h from ed)
 select s1, o, case when o in (select o from h where h) then 'hold' else 'train' end as part from h""",
     "pair_texts": f"with {_N} select s1, o, c1 || ' | ' || d1 as a, co || ' | ' || do_ as b from nm",
@@ -413,9 +541,9 @@ u as (select s1, o, tb, unnest(ta) as t, unnest(range(1, length(ta) + 1)) as i f
 pt as (select distinct x.t, y.w from (select distinct t, unnest(tb) as w from u) y join (select distinct t from u) x on x.t = y.t where length(x.t) >= 4 and length(y.w) >= 1 and 200 * least(length(x.t), length(y.w)) >= 85 * (length(x.t) + length(y.w))),
 nr as (select t, w from pt where 200 * {_lcs("t", "w")} >= 85 * (length(t) + length(w))),
 nl as (select t, list(w) as ws from nr group by t),
-f as (select u.s1, u.o, u.i, df.idf, list_contains(u.tb, u.t) as ex, list_contains(u.tb, u.t) or coalesce(list_has_any(nl.ws, u.tb), false) as hit from u join df on df.token = u.t left join nl on nl.t = u.t)
-select s1, o, round(sum(case when hit then 1 else 0 end) / count(*), 6) as fcov, round(sum(case when hit then idf else 0 end) / sum(idf), 6) as wcov,
-round(sum(case when ex then idf else 0 end) / sum(idf), 6) as wexact from f group by s1, o""",
+f as (select u.s1, u.o, u.i, df.idf, list_contains(u.tb, u.t) as ex, list_contains(u.tb, u.t) or coalesce(list_has_any(nl.ws, u.tb), false) as hit from u join df on df.token = u.t left join nl on nl.t = u.t),
+g as (select s1, o, round(sum(case when hit then 1 else 0 end) / count(*), 6) as fcov, round(sum(case when hit then idf else 0 end) / sum(idf), 6) as wcov,
+round(sum(case when ex then idf else 0 end) / sum(idf), 6) as wexact from f group by s1, o) select ed.s1, ed.o, fcov, wcov, wexact from ed left join g on g.s1 = ed.s1 and g.o = ed.o""",
     "sim_ratio": f"with {_N} select s1, o, round({_ratio('c1', 'co')}, 6) as nm_ratio from nm",
     "sim_token_sort": f"""with {_N}, x as (select s1, o, array_to_string(list_sort({_tok("c1")}), ' ') as a, array_to_string(list_sort({_tok("co")}), ' ') as b from nm)
 select s1, o, round({_ratio("a", "b")}, 6) as nm_tsort from x""",
@@ -451,3 +579,4 @@ select s1, o, r_o, r_1 from r where r_o <= 4 or r_1 <= 18""",
 select id, case when id in (select o from ed) then 'yes' else 'no' end as has from rec where side = 0""",
     "hash_sample": f"select entity_id as s1 from s1 where {fold_sql('entity_id', 3, 10)} = 0",
 }
+SQL["best_threshold"] = f"with sw as ({SQL['threshold_sweep']}) select threshold, macro_f05 from sw order by macro_f05 desc, threshold limit 1"

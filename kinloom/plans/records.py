@@ -52,7 +52,7 @@ def records(spark: SparkSession, sf_dir: str, hub: bool = False) -> DataFrame:
     both = left.unionByName(others(spark, sf_dir, hub).withColumn("side", F.lit(0)))
     if _NORMED.get():
         full = norm_addr(norm_name(evenly(both), "business_name"), "business_address")
-        return full.select(F.col("entity_id").alias("id"), "country", "side", "n_core", "n_alt", "a_norm", "a_nums")
+        return full.select(F.col("entity_id").alias("id"), "country", "side", "n_full", "n_core", "n_alt", "n_legal", "n_dom", "a_norm", "a_nums", "a_state")
     named = both.select(F.col("entity_id").alias("id"), "country", "side", plain("business_name").alias("n_core"), F.lit("").alias("n_alt"), plain("business_address").alias("a_norm"))
     return named.withColumn("a_nums", F.array_join(F.filter(words(F.col("a_norm")), lambda w: w.rlike("^[0-9]+$")), " "))
 

@@ -32,9 +32,12 @@ def build_session(app: str = "kinloom", master: str = "local[*]", partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own
+    (tests); on a cluster there is no folder that all executors would see, so that is an error."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")

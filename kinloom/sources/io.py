@@ -76,14 +76,3 @@ def explode_truth(df: DataFrame) -> DataFrame:
 def attach_vector(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """IO14: scores joined by their row number, never by position."""
     return pairs.join(scores, "row")
-
-
-def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``row``, 0 .. n - 1 in the order of ``keys``.
-
-    Ranges are sorted apart; a range's offset is the number of rows before it, so no task holds the whole table.
-    """
-    spark = df.sparkSession
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("row", T.LongType(), False)])
-    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)

@@ -25,9 +25,9 @@ def arriving_pairs(stream: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def owners_of(pairs: DataFrame) -> DataFrame:
-    """(o, s1, score): the best register record of every O record of a batch."""
+    """(o, s1, score): the best register record of every O record of a batch; the smaller s1 among equals."""
     scores = pairs.groupBy("o", "s1").agg(F.round(F.sum("w"), 6).alias("score"))
-    return scores.groupBy("o").agg(F.max_by("s1", F.struct("score", F.lit(0))).alias("s1"), F.max("score").alias("score"))
+    return scores.groupBy("o").agg(F.min_by("s1", F.struct(-F.col("score"), "s1")).alias("s1"), F.max("score").alias("score"))
 
 
 def start(stream: DataFrame, keys: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

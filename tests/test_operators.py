@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import blocking, decide, diff, group, metrics, models, translit
+from kinloom.operators import blocking, decide, diff, features, group, metrics, models, ranks, translit
 from kinloom.operators.diff import NUMBER_RELATIONS, extra_words, number_relation
 from kinloom.operators.skew import heavy_keys, tree_aggregate
 from kinloom.params import BlockingParams, DecisionParams
@@ -81,10 +81,48 @@ def test_metric_forms_agree(spark, rows):
 
 
 def test_siblings(rows):
-    e = rows([("a", "x", 0.9), ("a", "y", 0.8), ("b", "z", 0.1)], "s1 string, o string, p double")
-    r = rows([("x", "blue river", "12 elm"), ("y", "blue river", "12 elm"), ("z", "q", "")], "o string, n_core string, a_norm string")
-    got = {x["o"]: (x["sib_n"], x["sib_close"], x["sib_nm_max"]) for x in group.siblings(e, r).collect()}
-    assert got == {"x": (1, 1, 100.0), "y": (1, 1, 100.0), "z": (0, 0, None)}
+    e = rows([("a", "x", 0.9), ("a", "y", 0.8), ("b", "z", 0.1), ("b", "w", 0.005), ("c", "x", 0.5), ("c", "z", 0.4)], "s1 string, o string, p double")
+    r = rows([("x", "blue river", "12 elm"), ("y", "blue river", "12 elm"), ("z", "blue rivers", "")], "o string, n_core string, a_norm string")
+    got = {(x["s1"], x["o"]): x for x in group.siblings(e, r).collect()}
+    assert set(got) == {("a", "x"), ("a", "y"), ("b", "z"), ("c", "x"), ("c", "z")}  # 0.005 is not plausible
+    x = got["a", "x"]
+    assert (x["sib_n"], x["sib_close"], x["sib_nm_max"], x["sib_both_max"], x["sib_close_p"], x["sib_wsim"]) == (1, 1, 100.0, 100.0, 0.8, 100.0)
+    assert (got["b", "z"]["sib_n"], got["b", "z"]["sib_close"], got["b", "z"]["sib_nm_max"]) == (0, 0, None)
+    x = got["c", "x"]  # the sibling has no address: not alike at all there
+    assert x["sib_nm_max"] > 90 and (x["sib_ad_max"], x["sib_both_max"], x["sib_close"], x["sib_close_p"], x["sib_wsim"]) == (0.0, 0.0, 0, 0.0, 0.0)
+
+
+def test_twins_count_records_of_the_other_side_only(rows):
+    data = [("S1a", 1, "US", "blue river", "12"), ("S2a", 0, "US", "blue river", "12"), ("S2b", 0, "India", "blue river", "12 3"), ("S3a", 0, "US", "blue river", "")]
+    got = {r["id"]: (r["twin_name"], r["twin_key"]) for r in group.twins(rows(data, "id string, side int, country string, n_core string, a_nums string")).collect()}
+    assert got == {"S2a": (2, 1), "S2b": (2, 1), "S3a": (2, 0)}
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_ranks_of_hot_groups_over_several_ranges(rows, most):
+    rnd = random.Random(9)
+    data = [("hot" if rnd.random() < 0.6 else rnd.choice("abc"), rnd.randrange(20), i) for i in range(400)]
+    got = {(r["k"], r["i"]): r["rank"] for r in ranks.ranked(rows(data, "k string, v int, i int"), "k", [F.desc("v"), F.asc("i")], "rank", most).collect()}
+    want = {}
+    for key in {k for k, _, _ in data}:
+        for n, (_, v, i) in enumerate(sorted((x for x in data if x[0] == key), key=lambda x: (-x[1], x[2])), 1):
+            want[key, i] = n
+    assert got == want
+
+
+def test_blend_features(rows):
+    e = rows([("a", "x", 0.9, 2.0), ("b", "x", 0.4, 3.0), ("a", "y", 0.5, -1.0)], "s1 string, o string, p double, ce double")
+    got = {(r["s1"], r["o"]): tuple(r[c] for c in group.BLEND[1:]) for r in group.blend_features(e).collect()}
+    assert got["a", "x"] == (2.0, 3.0, 2, -1.0, 0.0, 2.0, 2.0, 0.5, 0.0) and got["a", "y"] == (-1.0, -1.0, 1, 0.0, 0.0, -20.0, 2.0, 0.5, -3.0)
+
+
+def test_coverages(rows):
+    recs = rows([("s", 1, "blue river blue", "12 elmwood"), ("o", 0, "blue rivr co", ""), ("q", 0, "", "12 elmwod")], "id string, side int, n_core string, a_norm string")
+    pairs = rows([("s", "o"), ("s", "q")], "s1 string, o string")
+    weights = [features.token_weights(recs, c, features.document_frequencies(recs, c)) for c in ("n_core", "a_norm")]
+    got = {r["o"]: r.asDict() for r in features.coverages(pairs, *weights).collect()}
+    assert got["o"]["nm_fcov"] == 1.0 and got["o"]["nm_wcov"] == 1.0 and 0 < got["o"]["nm_wexact"] < 1 and got["o"]["nm_fcov_o"] == round(2 / 3, 6) and got["o"]["ad_fcov"] is None
+    assert got["q"]["nm_fcov"] is None and got["q"]["nm_wcov_o"] is None and got["q"]["ad_fcov"] == 1.0 and got["q"]["ad_fcov_o"] == 1.0
 
 
 def test_number_relations(rows):
@@ -149,8 +187,8 @@ def test_text_tables_round_trip(spark, rows, tmp_path):
     assert io.read_json(spark, f"file://{tmp_path}/j") == {"é": [1, 2]}
     truth = rows([("a", "x, y"), ("b", "")], "source1_entity_id string, matched_entity_ids string")
     assert {tuple(r) for r in io.explode_truth(truth).collect()} == {("a", "x"), ("a", "y")}
-    numbered = io.numbered(df.select("entity_id"), ["entity_id"]).collect()
-    assert [(r["entity_id"], r["row"]) for r in numbered] == [("1", 0), ("2", 1)]
+    numbered = ranks.numbered(df.select("entity_id"), ["entity_id"]).collect()
+    assert sorted((r["entity_id"], r["row"]) for r in numbered) == [("1", 0), ("2", 1)]
 
 
 def test_stream_finds_owners(spark, rows, tmp_path):
