@@ -5,7 +5,8 @@ character with the marks and invisible characters that follow it. For every clus
 precomputed mapping is applied (ligatures, widths, composed accents, spaces). Look-alike letters need their
 word as context, so the transducer keeps two outputs while it reads a word, one with look-alikes left alone
 and one with them replaced, and picks one at the word's end: the replaced one if the word also has
-Latin letters or if every foreign letter in it has a Latin twin.
+Latin letters. A word of another script whose letters all have Latin twins is replaced only if the value shows Latin
+letters elsewhere and no word that is surely of that script: КАССА alone, or beside МЕБЕЛЬ, is a genuine word.
 
 Defined results: NULL stays NULL and is no case; empty and blank text stay as they are (ordinary spaces are
 ordinary); text of any length is processed whole; repeated rows give one result row per (entity_id, field);
@@ -34,32 +35,40 @@ LOOK_ALIKES = [
     ("аеорсухѕіјһԛԝԁ", "aeopcyxsijhqwd"),
     # Armenian small letters
     ("ոօսհ", "nouh"),
+    # Cherokee
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    # Lisu
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
 ]
-# Latin letters of phonetic alphabets that look like plain ones; replaced in any word.
-LATIN_TWINS = ("ɡɑ", "ga")
+# Latin letters of phonetic alphabets, and small capitals, that look like plain ones; replaced in any word.
+LATIN_TWINS = ("ɡɑᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "gaabcdeghijklmnoprstuvwyz")
+# First and last code point of the scripts that have look-alikes.
+SCRIPTS = {"Greek": (0x370, 0x3FF), "Cyrillic": (0x400, 0x52F), "Armenian": (0x530, 0x58F), "Cherokee": (0x13A0, 0x13FF), "Lisu": (0xA4D0, 0xA4FF)}
 # What joins or hides without being seen, beside all characters of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤﾠ"
 
 
+# What is mapped of the code space: all but ASCII, Hangul syllables, surrogates, private use and plain ideographs.
+PLANES = ((0xA0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x17000), (0x1B000, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+
+
 def _nfkc(ch: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", ch))
 
 
 def compile_mapping() -> dict[str, str]:
-    """Cluster -> ordinary form, built by rule over the basic plane; raises if two rules disagree or an output is not final."""
+    """Cluster -> ordinary form, built by rule over all planes; raises if two rules disagree or an output is not final."""
     found: dict[str, str] = {}
 
     def put(key: str, value: str) -> None:
         if found.setdefault(key, value) != value:
             raise ValueError(f"conflict for {key!r}: {found[key]!r} and {value!r}")
 
-    for code in range(0xA0, 0x10000):
-        if 0xD800 <= code <= 0xF8FF or 0xAC00 <= code <= 0xD7A3:
-            continue
+    for code in (c for low, high in PLANES for c in range(low, high)):
         ch = chr(code)
         kind = unicodedata.category(ch)
-        if ch in INVISIBLE or kind == "Cf" or 0xFE00 <= code <= 0xFE0F:
-            put(ch, "")
+        if ch in INVISIBLE or kind in ("Cf", "Me") or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
+            put(ch, "")  # unseen, or a frame around a letter
         elif kind in ("Zs", "Zl", "Zp"):
             put(ch, " ")
         elif kind != "Cn" and (plain := _nfkc(ch)) != ch and not plain.startswith(" "):
@@ -90,24 +99,45 @@ def _machine() -> tuple[dict[str, str], dict[str, str], re.Pattern, re.Pattern]:
         raise ValueError(f"look-alikes that another rule maps: {clash}")
     singles = "".join(re.escape(c) for c in mapping if len(c) == 1)
     # a value is touched only if it has a mapped character, a mark, or a letter of a script with look-alikes
-    suspect = re.compile(f"[{singles}̀-ͯͰ-ϿЀ-ԯ԰-֏]")
+    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS.values())
+    suspect = re.compile(f"[{singles}\u0300-\u036f{ranges}]")
     word = re.compile(r"[^ \t\r\n\x00-\x1f]*[^\x00-\x7f][^ \t\r\n\x00-\x1f]*")
     return mapping, twins, suspect, word
 
 
-def _rewrite(word: str, mapping: dict[str, str], twins: dict[str, str]) -> str:
+def _script(ch: str) -> str:
+    code = ord(ch)
+    return next((name for name, (a, b) in SCRIPTS.items() if a <= code <= b), "")
+
+
+def _genuine(text: str, mapping: dict[str, str], twins: dict[str, str]) -> set[str]:
+    """The scripts whose look-alike words are to be left alone in a value: all if it has no Latin letter, else those of which it has a
+    word without Latin letters that is not made of look-alikes only."""
+    scripts: set[str] = set()
+    any_latin = False
+    for word in re.split(r"[\W\d_]+", text):
+        latin = any(c.isalpha() and (c < "ɐ" or (mapping.get(c, c)[:1] or "?").isascii()) for c in word)
+        any_latin |= latin
+        if not latin:
+            scripts |= {s for c in word if c not in twins and (s := _script(c))}
+    return scripts if any_latin else set(SCRIPTS)
+
+
+def _rewrite(word: str, mapping: dict[str, str], twins: dict[str, str], genuine: set[str]) -> str:
     """One pass over the clusters of a run without ordinary spaces; special spaces inside it end a word."""
     out: list[str] = []
     plain: list[str] = []
     swapped: list[str] = []
     latin = foreign = odd = False
+    script = ""
 
     def close() -> None:
-        nonlocal latin, foreign, odd
-        out.extend(swapped if foreign and (latin or not odd) else plain)
+        nonlocal latin, foreign, odd, script
+        out.extend(swapped if foreign and (latin or not odd and script not in genuine) else plain)
         plain.clear()
         swapped.clear()
         latin = foreign = odd = False
+        script = ""
 
     i, n = 0, len(word)
     while i < n:
@@ -131,14 +161,14 @@ def _rewrite(word: str, mapping: dict[str, str], twins: dict[str, str]) -> str:
             continue
         head = text[0]
         if head in twins:
-            foreign = True
+            foreign, script = True, _script(head)
             plain.append(text)
             swapped.append(unicodedata.normalize("NFC", twins[head] + text[1:]))
             continue
         if head.isalpha():
             if head < "ɐ" or "Ḁ" <= head <= "ỿ":
                 latin = True
-            elif "Ͱ" <= head <= "֏":
+            elif _script(head):
                 foreign = odd = True
         elif not head.isdigit() and head not in "'’-.&":
             close()
@@ -155,7 +185,8 @@ def ordinary(text: str) -> str:
     mapping, twins, suspect, word = _machine()
     if text.isascii() or not suspect.search(text):
         return text
-    return word.sub(lambda m: _rewrite(m[0], mapping, twins), text)
+    genuine = _genuine(text, mapping, twins) if any(c in twins for c in text) else set()
+    return word.sub(lambda m: _rewrite(m[0], mapping, twins, genuine), text)
 
 
 def ordinary_all(values: Iterable[str | None]) -> list[str | None]:

@@ -13,9 +13,14 @@ CASES = {
     "1141 Elm St": "1141 Elm St",
     "Lⅰⅴalac ﬁn": "Livalac fin",
     "№ 7": "No 7",
-    "ΟΗ": "OH",
+    "Elm ΟΗ 13848": "Elm OH 13848",
+    "Ꭺcme ꓐank": "Acme Bank",
+    "\U0001d400cme \U0001d5d5ank": "Acme Bank",
+    "ᴀᴄᴍᴇ": "acme",
+    "\U0001f130cme\u20dd": "Acme",
+    "a\U000e0061b": "ab",
 }
-PLAIN = ["", "  two  spaces ", "élève", "Жемчуг МЕБЕЛЬ", "Θάλασσα", "東京堂", "さくら", "नोचोला", "مكتبة", "Çarşı Łąka", "pl0gornen", "Größe", "x" * 100_000]
+PLAIN = ["КАССА", "ТОРТ", "оса", "Foods КАССА МЕБЕЛЬ", "ᏣᎳᎩ", "ΟΗ ΚΑΙ", "", "  two  spaces ", "élève", "Жемчуг МЕБЕЛЬ", "Θάλασσα", "東京堂", "さくら", "नोचोला", "مكتبة", "Çarşı Łąka", "pl0gornen", "Größe", "x" * 100_000]
 
 
 def test_cases():
