@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.llm.forms import ordinary
+from kinloom.session import materialize
 
 _BREAK = re.compile(r"(?<=\w)[-‐‑]\s*[\r\n]\s*(?=\w)")
 _MARKS = re.compile("[̀-ͯ]")
@@ -309,8 +310,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, params: LeakParams = Leak
     spark = documents.sparkSession
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType())])
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    out = spark.createDataFrame([], schema)
-    for index in item_blocks(items, params):
+    out, alone = spark.createDataFrame([], schema), True
+    blocks = item_blocks(items, params)
+    index = next(blocks, None)
+    while index is not None:
+        after = next(blocks, None)
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -322,5 +326,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, params: LeakParams = Leak
                     if hits:
                         yield pd.DataFrame({"doc_id": [ids[w] for w, _ in hits], "item_id": [i for _, i in hits]})
 
-        out = out.unionByName(texts.mapInPandas(search, schema))
+        found = texts.mapInPandas(search, schema)
+        alone = alone and after is None
+        if not alone:  # one block's fingerprints are held at a time: its result is written before the next is made
+            found = materialize(found, "leaks", keep=True)
+            shared.destroy()
+        out = out.unionByName(found)
+        index = after
     return out.distinct()

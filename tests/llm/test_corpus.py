@@ -115,6 +115,30 @@ def test_leaks_of_every_length_near_the_limit():
             assert found([w for k, w in enumerate(item[5 : 5 + n]) if k not in places]), (n, places)
 
 
+def test_no_passage_within_the_rule_is_lost():
+    """Two thousand passages with as many errors as the rule admits, at random places: changed, left out or put in."""
+    rnd = random.Random(8)
+    p = LeakParams()
+    item = [f"w{i}" for i in range(80)]
+    index = leaks.ItemIndex([(0, item)], p)
+    lost = []
+    for _ in range(2000):
+        n = rnd.randint(24, 70)
+        start = rnd.randrange(0, len(item) - n + 1)
+        span: list[str] = []
+        wrong = set(rnd.sample(range(n), n // 6))
+        for k, w in enumerate(item[start : start + n]):
+            if k not in wrong:
+                span.append(w)
+            elif rnd.random() < 0.6:
+                span.append("other")
+            elif rnd.random() < 0.5:
+                span += [w, "more"] if k + 1 < n else ["other"]
+        if leaks.find_in([" ".join(["x", *span, "y"])], index, p) != [(0, 0)]:
+            lost.append(span)
+    assert lost == []
+
+
 def test_leaks_in_blocks_and_of_nothing(rows):
     rnd = random.Random(8)
     items = [(i, " ".join(passage(rnd, 30))) for i in range(5)]
