@@ -97,7 +97,8 @@ def _machine() -> tuple[dict[str, str], dict[str, str], re.Pattern, re.Pattern]:
     twins = {a: b for left, right in LOOK_ALIKES for a, b in zip(left, right, strict=True)}
     if clash := [c for c in twins if c in mapping]:
         raise ValueError(f"look-alikes that another rule maps: {clash}")
-    singles = "".join(re.escape(c) for c in mapping if len(c) == 1)
+    # (of the other planes all that there is: the pattern only spares most values the transducer)
+    singles = "".join(re.escape(c) for c in mapping if len(c) == 1 and c < "\U00010000") + "\U00010000-\U0010ffff"
     # a value is touched only if it has a mapped character, a mark, or a letter of a script with look-alikes
     ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS.values())
     suspect = re.compile(f"[{singles}\u0300-\u036f{ranges}]")
