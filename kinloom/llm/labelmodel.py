@@ -228,13 +228,11 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
     """(s1, o, confidence): the S1 business of which a record is a copy, at most one for each record."""
     spark = s1.sparkSession
 
-    def records(df: DataFrame, side: str) -> DataFrame:
-        got = read_records(df, True, True).filter("words <> ''")
-        ids = {"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "placed": (F.col("number") != "") & (F.col("street") != "")}
-        return materialize(got.withColumns(ids).withColumnRenamed("id", side), f"records-{side}")
-
     with scratch(spark):
-        left, right = records(s1, "s1"), records(others, "o")
+        read = [materialize(read_records(x, True, True).filter("words <> ''"), "records") for x in (s1, others)]
+        learned = organisations.learn_words(*read)
+        ids = {"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "placed": (F.col("number") != "") & (F.col("street") != "")}
+        left, right = (learned.apply(x).withColumns(ids).withColumnRenamed("id", side) for x, side in zip(read, ("s1", "o"), strict=True))
         voted = name_votes(candidates(left, right)).select("s1", "o", "edits", F.col("v_name").bitwiseOR(F.col("v_address")).alias("pattern"))
         voted = materialize(voted, "votes")
         counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 4 ** 11 in theory, some thousands in practice

@@ -18,8 +18,6 @@ TITLES = "m/s mr mrs ms miss dr smt shri sri shree mme mlle monsieur madame".spl
 FILLERS = "the and et und of de service services centre center shop store stores enterprise enterprises maison fils associes associe city".split()
 # Words that make another body of it.
 PARENTS = "group holding holdings trust foundation".split()
-# Foreign words added to names as ornament; those in other scripts go by their script.
-ORNAMENTS = "gyongy zluty senal sisli laka carsi arhus grosse".split()
 # Trades and their usual short forms.
 TRADES = {
     "upholstery": "uphol", "furniture": "furn", "photography": "photo", "veterinary": "vet", "laundry": "lndry", "electronics": "elec",
@@ -95,7 +93,7 @@ _TRADE, _TRADE_END, _TRADE_SOUND, _GIVEN, _GIVEN_SOUND = _lexicons()
 _SAME_TRADE = {"electricite": "electronics", "pharmacie": "pharmacy", "transports": "transport"}
 _LEGAL = set(LEGAL)
 _LEGAL_NEAR = Lexicon({w: w for w in LEGAL_LONG}, 6)
-_DROP = {*TITLES, *FILLERS, *ORNAMENTS}
+_DROP = {*TITLES, *FILLERS}
 _FILLER_NEAR = Lexicon({w: w for w in FILLERS if len(w) >= 6}, 6)
 _PARENT = Lexicon({w: w.rstrip("s") if w == "holdings" else w for w in PARENTS}, 5)
 

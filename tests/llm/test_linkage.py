@@ -9,9 +9,9 @@ from kinloom.llm.addresses import read_address
 from kinloom.llm.labelmodel import fit_label_model, link_entities
 from kinloom.llm.metric import RadiusParams, pairs_within, radius_join, within
 from kinloom.llm.names import read_name
-from kinloom.llm.organisations import record_pairs, same_organisation
+from kinloom.llm.organisations import learn_words, record_pairs, same_organisation
 from kinloom.llm.premises import assign, likeness, same_premises, token_keys
-from kinloom.llm.records import expand_pairs
+from kinloom.llm.records import expand_pairs, read_records
 from kinloom.llm.words import deletions, osa
 
 
@@ -253,6 +253,20 @@ def test_link_entities(rows):
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_words_that_no_list_has_are_learned(rows):
+    rnd = random.Random(11)
+    own = [w.title() for w in words(rnd, 60, 7, 9)]
+    kinds = ["Brewery", "Bicycles", "Aviaries"]
+    left = [(f"S1{i:03}", f"{own[i]} {own[i + 30]} {kinds[i % 3]} LLC", "", "US", "x", "", 0) for i in range(30)]
+    right = [(f"S2{i:03}", f"{own[i]} {own[i + 30]} {kinds[i % 3]} {'Zorbo' if i % 2 else ''}", "", "US", "", "", 0) for i in range(30)]
+    right += [(f"S3{i:03}", f"{own[i]} {own[i + 30]} {kinds[(i + 1) % 3]}", "", "US", "", "", 0) for i in range(30)]
+    right += [("S3900", f"{own[0]} {own[30]} Brewerry", "", "US", "", "", 0)]
+    taught = learn_words(read_records(rows(left, DDL), True, False), read_records(rows(right, DDL), True, False))
+    assert taught.trades == ("aviaries", "bicycles", "brewery") and taught.fillers == ("zorbo",)
+    got = pairs(same_organisation(rows(left, DDL), rows(right, DDL), None))
+    assert got == sorted([(f"S1{i:03}", f"S2{i:03}") for i in range(30)] + [("S1000", "S3900")])
+
+
 def planted(rnd, n):
     """S1 rows, records, and the true pairs: copies with typed names, and other businesses at the places of some."""
     syllables = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "an", "or", "il")]
