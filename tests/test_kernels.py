@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -72,3 +75,14 @@ def test_near_flags(rows):
     df = rows([(["bakery", "inc"], ["bakry", "inc"]), (None, ["x"]), ([], [])], "a array<string>, b array<string>")
     got = [list(r[0]) for r in df.select(k.near_flags()("a", "b")).collect()]
     assert got == [[True, False], [], []]
+
+
+def test_kernels_of_many_pairs_agree_with_those_of_one():
+    rnd = random.Random(12)
+    text = lambda: "".join(rnd.choice("abcdé  f") for _ in range(rnd.choice([0, 1, 3, 9, 14, 25, 62, 63, 64, 80])))
+    a, b = [text() for _ in range(600)], [text() for _ in range(600)]
+    b[:100] = [x[3:] + "q" for x in a[:100]]
+    for one, many in k.MANY.items():
+        assert np.allclose(many(a, b), [one(x, y) for x, y in zip(a, b)]), one.__name__
+        assert len(many([], [])) == 0
+    assert k.partial_many(["x" * 30], ["y" * 3000 + "x" * 30]).tolist() == [100.0]
