@@ -147,6 +147,16 @@ def errors_of(p: LeakParams) -> int:
     return (2 * p.loose_words - 1) // p.loose_rate
 
 
+def least_hits(p: LeakParams) -> int:
+    """How many shared fingerprints any passage that fulfils a rule leaves at least.
+
+    A run of L unchanged words has L - k + 1 grams, of which at least every ``window``-th is kept; e errors make e + 1 runs.
+    """
+    exact = (p.exact_words - p.k + 1) // p.window
+    loose = min(-(-(n - n // p.loose_rate - (n // p.loose_rate + 1) * (p.k + p.window - 2)) // p.window) for n in range(p.loose_words, 2 * p.loose_words))
+    return max(1, min(exact, loose))
+
+
 def _promising(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray, p: LeakParams, step: int = 20_000) -> np.ndarray:
     """Hits around which enough words agree, on the hit's own diagonal or one near by, to fulfil a rule.
 
@@ -261,6 +271,14 @@ def find_in(texts: list[str | None], index: ItemIndex, p: LeakParams) -> list[tu
     if not len(which):
         return []
     d, i = keep[which], place
+    # of a text and an item with too few shared places of the item no passage can come
+    pair = (np.searchsorted(np.array(starts), d, side="right") - 1) * np.int64(len(index.item_ids)) + np.searchsorted(index.starts, i, side="right") - 1
+    seen = np.unique(np.stack([pair, i]), axis=1)[0]
+    pairs, count = np.unique(seen, return_counts=True)
+    some = np.isin(pair, pairs[count >= least_hits(p)])
+    d, i = d[some], i[some]
+    if not len(d):
+        return []
     # one hit for each diagonal and stretch of a few words is enough: the neighbourhood looked at covers the rest
     key = (d - i) * np.int64(1 << 32) + i // p.k
     _, first = np.unique(key, return_index=True)
