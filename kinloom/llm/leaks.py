@@ -147,6 +147,10 @@ def errors_of(p: LeakParams) -> int:
     return (2 * p.loose_words - 1) // p.loose_rate
 
 
+#: Diagonals in a strip, at least: more than the errors of a passage (``errors_of``) can spread its hits over.
+STRIP = 16
+
+
 def least_hits(p: LeakParams) -> int:
     """How many shared fingerprints any passage that fulfils a rule leaves at least.
 
@@ -271,11 +275,14 @@ def find_in(texts: list[str | None], index: ItemIndex, p: LeakParams) -> list[tu
     if not len(which):
         return []
     d, i = keep[which], place
-    # of a text and an item with too few shared places of the item no passage can come
+    # the hits of a passage lie on diagonals no further apart than its errors, so in two neighbouring strips of diagonals;
+    # where two strips of a text and an item have too few of them there is no passage
+    strip = (d - i) // max(STRIP, errors_of(p) + 1)
+    strip -= strip.min()
     pair = (np.searchsorted(np.array(starts), d, side="right") - 1) * np.int64(len(index.item_ids)) + np.searchsorted(index.starts, i, side="right") - 1
-    seen = np.unique(np.stack([pair, i]), axis=1)[0]
-    pairs, count = np.unique(seen, return_counts=True)
-    some = np.isin(pair, pairs[count >= least_hits(p)])
+    strips, at, count = np.unique(pair * (int(strip.max()) + 2) + strip, return_inverse=True, return_counts=True)
+    together = np.concatenate([[0], np.where(np.diff(strips) == 1, count[1:] + count[:-1], 0), [0]])
+    some = np.maximum(count, np.maximum(together[1:], together[:-1]))[at] >= least_hits(p)
     d, i = d[some], i[some]
     if not len(d):
         return []
