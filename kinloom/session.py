@@ -64,13 +64,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Removes the shuffle files of a query when it has ended, where this Spark version has the setting.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files: what they made is in the table they wrote."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    if before is not None:
+        spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that any executor can reread."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     if _scratch and not keep:
         _scratch[-1].append(path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
