@@ -324,6 +324,12 @@ def test_large_name_classes_are_linked_through_representatives(rows):
     assert got == sorted([(f"a{i}", "x0") for i in range(6)] + [("a0", f"x{i}") for i in range(1, 5)] + [("b0", "y0"), ("b0", "y1")])
 
 
+def test_large_organisations_have_all_their_pairs(rows):
+    left = rows([(f"S1{i:03}", "Venforro Menlimi Realty", "", "US", "x", "", 0) for i in range(102)], DDL)
+    right = rows([(f"S2{i:03}", "Venforro Menlimi Realty Inc", "", "US", "", "", 0) for i in range(100)], DDL)
+    assert pairs(same_organisation(left, right, None)) == [(f"S1{i:03}", f"S2{k:03}") for i in range(102) for k in range(100)]
+
+
 def test_empty_sides(rows):
     some, none = others(rows), rows([], DDL)
     for f in (same_premises, lambda a, b: same_organisation(a, b, None), link_entities):
