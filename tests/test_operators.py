@@ -7,6 +7,7 @@ from kinloom.operators import blocking, decide, diff, features, group, metrics,
 from kinloom.operators.diff import NUMBER_RELATIONS, extra_words, number_relation
 from kinloom.operators.skew import heavy_keys, tree_aggregate
 from kinloom.params import BlockingParams, DecisionParams
+from kinloom.session import materialize
 from kinloom.sources import io
 from kinloom.streaming import incremental
 
@@ -211,3 +212,13 @@ def test_scratch_tables_go_and_kept_ones_stay(spark, rows):
     assert kept.collect()[0]["a"] == 1
     with pytest.raises(Exception, match="(?i)not exist|does not|FILE_NOT"):
         inner.collect()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in files if "shuffle_" in f}
+
+    before = held()
+    written = materialize(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    assert not held() - before and written.count() == 10
