@@ -35,3 +35,9 @@ def test_normalised_keys_and_owners(rows, spark, tmp_path):
     want = {("S1a", "S2a"), ("S1b", "S2b"), ("S1c", "S2c")}
     assert {(r["s1"], r["o"]) for r in registry.flagship(spark, str(tmp_path)).collect()} == want
     assert ("S1c", "S2c") not in {(r["s1"], r["o"]) for r in q["owners"](spark, str(tmp_path)).collect()}
+
+
+def test_pair_scores_are_read_from_one_table(spark):
+    for name in ("pair_scores", "normed_pair_scores"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "pair-scores" in plan and "Exchange" not in plan
