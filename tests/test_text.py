@@ -42,3 +42,11 @@ def test_addresses(rows):
 def test_romanise_keeps_ascii_in_the_jvm(rows):
     df = rows([("Ａｂｃ  Déjà",), ("plain  Text",), ("वोवजि तेदतु",), (None,)], "x string")
     assert [r[0] for r in df.select(t.romanise(F.col("x"))).collect()] == ["abc deja", "plain text", "vovaji tedatu", ""]
+
+
+def test_steps_of_normalisers_are_planned_once(rows):
+    # a step that is planned again for every place that reads it is worked out there again
+    df = rows([("Vano Ltd", "12 Rue Gedeli, Tulsa", "US")], "name string, address string, country string")
+    plan = t.norm_record(df, "name", "address")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein") == len(t.lx.LEGAL_LONG)
+    assert plan.count(t.lx.UNITS[0]) == 1
