@@ -41,3 +41,8 @@ def test_pair_scores_are_read_from_one_table(spark):
     for name in ("pair_scores", "normed_pair_scores"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "pair-scores" in plan and "Exchange" not in plan
+
+
+def test_feature_table_selects_candidates_once(spark):
+    plan = registry.queries()["feature_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
