@@ -154,13 +154,15 @@ def _packed(votes: dict[str, Column]) -> Column:
 def name_votes(pairs: DataFrame) -> DataFrame:
     """Adds ``v_name``, the packed votes on the names, and ``edits``, the edits between them in their better order."""
     a, b, t = core("l_words"), core("r_words"), swapped("r_words")
-    edits = F.least(F.levenshtein(a, b), F.when(t != "", F.levenshtein(a, t)).otherwise(F.lit(10_000)))
+    # equal names, the most of them, cost no comparison of letters
+    straight = F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+    edits = F.least(straight, F.when(straight == 0, 0).when(t != "", F.levenshtein(a, t)).otherwise(F.lit(10_000)))
     pairs = pairs.withColumns({"edits": edits, "size": F.greatest(F.length(a), F.length(b))})
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     # (the letters are looked at only where the names differ)
     jumbled = F.when(F.col("edits") == 0, 0).otherwise(F.levenshtein(sorted_(a), sorted_(b)))
     # the beginnings and the ends of the names, in the order in which they are nearer
-    other = F.when(F.levenshtein(a, b) > F.col("edits"), t).otherwise(b)
+    other = F.when((F.col("edits") > 0) & (F.levenshtein(a, b) <= F.col("edits")) | (a == b), b).otherwise(t)
     near = lambda x, y: F.when(x == y, FOR).when(F.levenshtein(x, y, 2) >= 0, WEAK).otherwise(AGAINST)
     votes = {
         "name": F.when(F.col("edits") == 0, FOR).when(F.col("edits") <= 2, WEAK).otherwise(AGAINST),
@@ -208,7 +210,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         return df.select(*cols, *[F.col(p).alias(f"{mark}_{p}") for p in (*NAMED, "parent")])
 
     here = side(left.filter("placed"), "l", "s1", "acls")
-    there = side(right.filter("placed").withColumnRenamed("acls", "r_acls"), "r", "o", "r_acls").join(places, "r_acls")
+    there = materialize(side(right.filter("placed").withColumnRenamed("acls", "r_acls"), "r", "o", "r_acls").join(places, "r_acls"), "there")
     # those at one premises meet by trade, so that a premises with many trades is no single block; few state none
     stated = here.filter("l_trade <> ''").withColumn("trade", F.col("l_trade")).join(there.filter("r_trade <> ''").withColumn("trade", F.col("r_trade")), ["acls", "trade"])
     together = [stated, here.filter("l_trade = ''").join(there, "acls"), here.filter("l_trade <> ''").join(there.filter("r_trade = ''"), "acls")]
@@ -216,9 +218,13 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     # an organisation with a single S1 row decides alone where an address is missing
     rows = left.select("ncls", "s1").distinct().groupBy("ncls").agg(F.count("*").alias("n"))
     single = names.join(rows, "ncls").groupBy("r_ncls").agg(F.sum("n").alias("n"), F.min("ncls").alias("ncls")).filter("n = 1").drop("n")
-    ours = left.select("s1", "ncls", "placed", *[F.col(p).alias(f"l_{p}") for p in (*NAMED, *LOCATED)]).join(single, "ncls")
+    single = materialize(single, "single")
+    ours = left.select("s1", "ncls", "placed", *[F.col(p).alias(f"l_{p}") for p in (*NAMED, *LOCATED)])
     theirs = right.select("o", F.col("ncls").alias("r_ncls"), F.col("placed").alias("r_placed"), *[F.col(p).alias(f"r_{p}") for p in (*NAMED, *LOCATED)])
-    pairs = ours.join(theirs, "r_ncls").filter("not (placed and r_placed)").withColumn("v_address", address_votes("l_", "r_")).select(*out)
+    # from the side without address, which has few rows, to the other
+    few = [materialize(single.join(x, k), "unplaced") for x, k in ((ours.filter("not placed"), "ncls"), (theirs.filter("not r_placed"), "r_ncls"))]
+    lone = few[0].join(theirs, "r_ncls").unionByName(few[1].join(ours.filter("placed"), "ncls"))
+    pairs = lone.withColumn("v_address", address_votes("l_", "r_")).select(*out)
     for x in together:
         pairs = pairs.unionByName(x.filter("l_parent = r_parent").select(*out))
     return pairs
@@ -232,7 +238,8 @@ def link_entities(s1: DataFrame, others: DataFrame, least: float = 0.5) -> DataF
         read = [materialize(read_records(x, True, True).filter("words <> ''"), "records") for x in (s1, others)]
         learned = organisations.learn_words(*read)
         ids = {"ncls": F.xxhash64(*organisations.CLASS), "acls": F.xxhash64(*premises.CLASS), "placed": (F.col("number") != "") & (F.col("street") != "")}
-        left, right = (learned.apply(x).withColumns(ids).withColumnRenamed("id", side) for x, side in zip(read, ("s1", "o"), strict=True))
+        # (written, as a dozen steps read them)
+        left, right = (materialize(learned.apply(x).withColumns(ids).withColumnRenamed("id", side), "read") for x, side in zip(read, ("s1", "o"), strict=True))
         voted = name_votes(candidates(left, right)).select("s1", "o", "edits", F.col("v_name").bitwiseOR(F.col("v_address")).alias("pattern"))
         voted = materialize(voted, "votes")
         counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 4 ** 11 in theory, some thousands in practice

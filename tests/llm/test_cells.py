@@ -2,6 +2,7 @@ import random
 import re
 
 from kinloom.llm import premises
+from kinloom.llm.labelmodel import link_entities
 from kinloom.llm.premises import same_premises
 from kinloom.llm.words import Lexicon, any_of, osa
 
@@ -50,3 +51,11 @@ def test_lexicon_misses_no_word_within_one_edit():
         t = "".join(t[:i] + rnd.choice([[], [t[i], rnd.choice("abc")], [rnd.choice("abc")], t[i : i + 2][::-1]]) + t[i + rnd.choice([1, 1, 2]) :])
         near = [(n, w) for w in words if len(w) >= 5 and len(t) >= 4 and (n := osa(t, w, 1)) <= 1]
         assert lexicon.find(t) == (t if t in words else min(near)[1] if near else None)
+
+
+def test_a_copy_with_its_street_where_the_town_stands_is_linked(rows):
+    ddl = "entity_id string, business_name string, business_address string, country string"
+    left = [("S1a", "Zanfrelo Bakery SAS", "3138 Avenue Donjereul, 29627 Vedove-les-Pres", "France"), ("S1b", "Zanfrelo Bakery SAS", "12 Rue Lonfomac, 33338 Gesuniville", "France")]
+    right = [("S2a", "zanfrelo bakery", "29627 Veodve-les-Pres,3138, Donjereul", "France"), ("S2b", "Zanfrelo Bakery", "12 Rue Lonfomac, 33338 Gesuniville", "France")]
+    got = link_entities(rows(left, ddl), rows(right, ddl)).select("s1", "o").collect()
+    assert sorted(tuple(r) for r in got) == [("S1a", "S2a"), ("S1b", "S2b")]
