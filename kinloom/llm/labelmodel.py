@@ -154,15 +154,17 @@ def _packed(votes: dict[str, Column]) -> Column:
 def name_votes(pairs: DataFrame) -> DataFrame:
     """Adds ``v_name``, the packed votes on the names, and ``edits``, the edits between them in their better order."""
     a, b, t = core("l_words"), core("r_words"), swapped("r_words")
-    # equal names, the most of them, cost no comparison of letters
-    straight = F.when(a == b, 0).otherwise(F.levenshtein(a, b))
-    edits = F.least(straight, F.when(straight == 0, 0).when(t != "", F.levenshtein(a, t)).otherwise(F.lit(10_000)))
+    # the smallest bound that holds decides: equal names, the most of them, and near ones cost no whole comparison of letters
+    within = lambda x, y, k: F.nullif(F.levenshtein(x, y, k), F.lit(-1))
+    pairs = pairs.withColumn("straight", F.when(a == b, 0).otherwise(F.coalesce(within(a, b, 3), F.levenshtein(a, b))))
+    turned = F.when(F.col("straight") <= 3, within(a, t, 2)).otherwise(F.levenshtein(a, t))
+    edits = F.least("straight", F.when((F.col("straight") == 0) | (t == ""), F.lit(10_000)).otherwise(F.coalesce(turned, F.lit(10_000))))
     pairs = pairs.withColumns({"edits": edits, "size": F.greatest(F.length(a), F.length(b))})
-    sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    sorted_ = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
     # (the letters are looked at only where the names differ)
-    jumbled = F.when(F.col("edits") == 0, 0).otherwise(F.levenshtein(sorted_(a), sorted_(b)))
+    pairs = pairs.withColumns({"jumbled": F.when(F.col("edits") == 0, 0).otherwise(F.levenshtein(sorted_(a), sorted_(b))), "other": F.when(F.col("straight") <= F.col("edits"), b).otherwise(t)})
+    jumbled, other = F.col("jumbled"), F.col("other")
     # the beginnings and the ends of the names, in the order in which they are nearer
-    other = F.when((F.col("edits") > 0) & (F.levenshtein(a, b) <= F.col("edits")) | (a == b), b).otherwise(t)
     near = lambda x, y: F.when(x == y, FOR).when(F.levenshtein(x, y, 2) >= 0, WEAK).otherwise(AGAINST)
     votes = {
         "name": F.when(F.col("edits") == 0, FOR).when(F.col("edits") <= 2, WEAK).otherwise(AGAINST),
@@ -174,7 +176,7 @@ def name_votes(pairs: DataFrame) -> DataFrame:
         "given": _vote(F.col("l_given"), F.col("r_given"), organisations.given_agree("l_given", "r_given")),
         "trade": _vote(F.col("l_trade"), F.col("r_trade"), F.lit(False)),
     }
-    return pairs.withColumn("v_name", _packed(votes)).drop("size")
+    return pairs.withColumn("v_name", _packed(votes)).drop("size", "straight", "jumbled", "other")
 
 
 def address_votes(left: str, right: str) -> Column:
